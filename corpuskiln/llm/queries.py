@@ -8,10 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import lookalike
+from . import lookalike, neardup
 from .tables import children
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_pairs(children(spark, d)).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_groups(children(spark, d)).withColumnRenamed("id", "chunk_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_pairs(children(spark, d)).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
@@ -21,6 +29,8 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p4_found": p4_found,
     "p4_canonical": p4_canonical,
 }
