@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import lookalike, neardup
+from . import language, lookalike, neardup, qapairs, sitelines
 from .tables import children
 
 
@@ -20,6 +20,22 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_groups(children(spark, d)).withColumnRenamed("id", "chunk_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_labels(table(spark, d, "chunks"), table(spark, d, "lang_samples")).withColumnRenamed("id", "chunk_id")
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.segments(table(spark, d, "chunks"), table(spark, d, "lang_samples")).withColumnRenamed("id", "chunk_id")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return sitelines.repeated_lines(table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "line_no")
+
+
+def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return sitelines.without_repeated(table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "text", "n_removed")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_pairs(children(spark, d)).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
@@ -28,11 +44,20 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_members(table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "canonical_id", "class_size", "n_forms")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return qapairs.defective_pairs(table(spark, d, "golden_rows"), table(spark, d, "lang_samples")).withColumnRenamed("id", "question_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_segments": p2_segments,
+    "p3_found": p3_found,
+    "p3_cleaned": p3_cleaned,
     "p4_found": p4_found,
     "p4_canonical": p4_canonical,
+    "p5_found": p5_found,
 }
 
 SQL: dict[str, str] = {}
