@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, settle
+from ..session import broadcast_if_small, settle, ship
 
 #: Pages a line must stand on, and the share of the site's pages.
 MIN_PAGES, MIN_SHARE = 5, 0.1
@@ -55,6 +55,7 @@ def _blocks(edges: dict[int, set[int]], nodes: list[int]) -> dict[int, int]:
 
 def site_blocks(lines: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``site, node, pages, site_pages, block``: the kept lines of every site and the block each belongs to."""
+    ship(lines.sparkSession)
     on_pages = lines.select("site", "node", "page").distinct()
     site_pages = lines.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("site_pages"))
     nodes = on_pages.groupBy("site", "node").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
