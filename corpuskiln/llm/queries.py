@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language, lookalike, neardup, qapairs, sitelines
-from .tables import children
+from . import language, lookalike, neardup, qapairs, scans, sitelines
+from .tables import all_texts, children, scanned_units
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,6 +48,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return qapairs.defective_pairs(table(spark, d, "golden_rows"), table(spark, d, "lang_samples")).withColumnRenamed("id", "question_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found(scanned_units(spark, d), all_texts(spark, d))
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(scanned_units(spark, d), all_texts(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -58,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_canonical": p4_canonical,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_repaired": p6_repaired,
 }
 
 SQL: dict[str, str] = {}
