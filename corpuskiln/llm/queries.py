@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import language, lookalike, neardup, qapairs, scans, sitelines
+from ..session import settle, table
+from . import language, lookalike, mixing, neardup, packing, qapairs, readlevel, scans, sitelines, tokens
 from .tables import all_texts, children, scanned_units
 
 
@@ -56,6 +56,45 @@ def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired(scanned_units(spark, d), all_texts(spark, d))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_counts(table(spark, d, "documents"), ["doc_id"])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sizes(spark, d), table(spark, d, "pack_specs")).where("n_pieces > 1").select("pack_name", "doc_id").distinct()
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sizes(spark, d), table(spark, d, "pack_specs"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p7_packed(spark, d), table(spark, d, "pack_specs"))
+
+
+def _mix_sizes(spark: SparkSession, d: str) -> DataFrame:
+    own = F.broadcast(table(spark, d, "mix_targets").select("source").distinct())
+    docs = table(spark, d, "documents").join(own, "source", "left_semi")
+    return settle(tokens.token_counts(docs, ["doc_id", "source"]), "mix-sizes")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.allocate(_mix_sizes(spark, d), table(spark, d, "mix_targets")).where("not reachable").select("mix_name", "source")
+
+
+def p8_selected(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.select(_mix_sizes(spark, d), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    sizes, targets = _mix_sizes(spark, d), table(spark, d, "mix_targets")
+    return mixing.shares(mixing.select(sizes, targets), sizes, targets)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return readlevel.reading_levels(table(spark, d, "documents").where("lang = 'en'"), table(spark, d, "level_samples")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -68,6 +107,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_repaired": p6_repaired,
+    "p7_found": p7_found,
+    "p7_packed": p7_packed,
+    "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_selected": p8_selected,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
 }
 
 SQL: dict[str, str] = {}
