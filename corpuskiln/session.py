@@ -35,6 +35,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "corpu
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test-data table."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
