@@ -26,6 +26,7 @@ def allocate(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     ``sizes`` has ``doc_id, source, n_tokens``. Sources of a mix without documents have size 0 and can't reach a share above 0. A null
     share counts as 0, a null max_repeats as 1; a repeated target row counts once.
     """
+    sizes = sizes.select("doc_id", "source", "n_tokens")
     by_source = sizes.groupBy("source").agg(F.sum("n_tokens").alias("source_size"))
     t = targets.where("mix_name is not null and source is not null").groupBy("mix_name", "source").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     m = t.join(by_source, "source", "left").withColumn("source_size", F.coalesce("source_size", F.lit(0)))
@@ -40,7 +41,8 @@ def allocate(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 def select(sizes: DataFrame, targets: DataFrame, seed: int = 8) -> DataFrame:
     """``mix_name, source, doc_id, n_tokens, n_copies`` of the chosen documents. The number sampled makes the expected tokens the fraction
-    wanted; documents without tokens are chosen by no mix."""
+    wanted; documents without tokens or id are chosen by no mix, a repeated id counts once (its largest size)."""
+    sizes = sizes.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source")).alias("m")).select("doc_id", "m.source", "m.n_tokens")
     plan = settle(allocate(sizes, targets), "mix-plan")
     key = ["mix_name", "source"]
     # p = min(1, c * size): c is solved over the sizes that occur, largest first, so that the expected tokens are the fraction wanted
