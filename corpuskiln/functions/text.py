@@ -41,8 +41,8 @@ def sentences(text: Column) -> Column:
         (F.size(acc) > 0) & ends_short(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(""))),
         F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("")), F.lit(" "), s))),
     ).otherwise(F.concat(acc, F.array(s)))
-    merged = F.aggregate(raw, F.array().cast("array<string>"), fold)
-    return F.when(F.exists(raw, ends_short), merged).otherwise(raw)
+    # bound in a one-element array, the split text is computed once
+    return F.get(F.transform(F.array(raw), lambda r: F.when(F.exists(r, ends_short), F.aggregate(r, F.array().cast("array<string>"), fold)).otherwise(r)), F.lit(0))
 
 
 def words(text: Column) -> Column:

@@ -25,7 +25,9 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def bucket(word: Column, dim: int = 1024) -> Column:
-    """md5 of a word modulo ``dim``: folded over the four 8-digit words of the hash."""
+    """md5 of a word modulo ``dim``: the last digits for a power of two, else folded over the four 8-digit words of the hash."""
+    if dim & (dim - 1) == 0 and dim <= 1 << 32:
+        return F.conv(F.substring(F.md5(word), 25, 8), 16, 10).cast("bigint").bitwiseAND(F.lit(dim - 1)).cast("int")
     h, rest = F.md5(word), F.lit(0).cast("bigint")
     for k in range(4):
         part = F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("bigint")

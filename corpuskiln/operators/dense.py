@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import ship
+from ..session import broadcast_if_small, settle, ship
 
 #: Queries of a block; a block is what one pass over the vectors carries.
 BLOCK = 2048
@@ -89,7 +89,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ch
 def sparse_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The same over hashing vectors as rows ``chunk_id, bucket, weight`` and ``query_id, bucket, weight`` of unit length:
     an equi-join on the bucket; only rows that share a bucket with a query are touched."""
-    q = queries.select("query_id", "bucket", F.col("weight").alias("qw"))
+    q = broadcast_if_small(settle(queries.select("query_id", "bucket", F.col("weight").alias("qw")), "query-vectors"), 60)
     scored = vectors.join(q, "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("s"))
     return ranked(scored.select("query_id", "chunk_id", F.round(1 - F.col("s"), 9).alias("distance")), k, "distance", False)
 

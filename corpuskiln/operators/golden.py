@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import broadcast_if_small, settle
 from .lexical import STOPWORDS
 
 # Words that mark procedures and negations.
@@ -70,6 +71,9 @@ def source_pairs(chunks: DataFrame, salt: str = "synthesis") -> DataFrame:
 
 def leaks(questions: DataFrame, chunks: DataFrame, n: int = 5) -> DataFrame:
     """``query_id, n_shared``: questions that share a run of n words with their own source chunks. ``questions``: ``query_id, text, relevant_chunk_ids``."""
-    q = questions.select("query_id", F.explode("relevant_chunk_ids").alias("chunk_id"), X.ngrams(X.blank_words(F.col("text")), n).alias("g")).where(F.size("g") > 0)
-    g = q.join(chunks.select("chunk_id", "text"), "chunk_id").withColumn("hit", F.array_intersect("g", X.ngrams(X.blank_words(F.col("text")), n))).where(F.size("hit") > 0)
-    return g.select("query_id", F.explode("hit").alias("h")).groupBy("query_id").agg(F.count_distinct("h").alias("n_shared"))
+    # a run of words is in a text if it is in its words joined by single blanks, so the text's own runs are never formed
+    q = questions.select("query_id", "relevant_chunk_ids", F.explode(X.ngrams(X.blank_words(F.col("text")), n)).alias("g")).select("query_id", "g", F.explode("relevant_chunk_ids").alias("chunk_id"))
+    q = settle(q, "question-runs")
+    flat = chunks.join(broadcast_if_small(q.select("chunk_id").distinct(), 60), "chunk_id", "left_semi").select("chunk_id", F.concat(F.lit(" "), F.array_join(X.blank_words(F.col("text")), " "), F.lit(" ")).alias("flat"))
+    hit = q.join(flat, "chunk_id").where(F.contains("flat", F.concat(F.lit(" "), F.col("g"), F.lit(" "))))
+    return hit.groupBy("query_id").agg(F.count_distinct("g").alias("n_shared"))

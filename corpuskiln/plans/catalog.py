@@ -11,9 +11,15 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import chunking, dataset, dedup, dense, embed, evaluate, faithfulness, golden, lexical, rewrite, search, store
 from ..schema import chunk_id
-from ..session import settle, shared_dir, table
+from ..session import settle, shared_dir, spread
+from ..session import table as one_table
 from ..sources import crawl, files, manifest, pdf
 
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spread(one_table(spark, d, name))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -42,6 +48,11 @@ def latest(spark: SparkSession, d: str) -> DataFrame:
     return store.last_wins(table(spark, d, "chunks"), "chunk_id", ["created_at"])
 
 
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same, written once for queries that read it several times."""
+    return settle(latest(spark, d), "chunks")
+
+
 def gold(spark: SparkSession, d: str) -> DataFrame:
     return store.last_wins(table(spark, d, "golden_rows"), "question_id", ["built_at"])
 
@@ -329,7 +340,7 @@ def bm25_topk(spark, d):
 
 
 def _search(spark, d, k, final):
-    ch, q = latest(spark, d), questions(spark, d)
+    ch, q = stored(spark, d), questions(spark, d)
     return search.search_chunks(ch, embed.sparse(ch), q, embed.sparse(q, "query_id"), k, k, final)
 
 
@@ -340,7 +351,7 @@ def search_chunks(spark, d):
 
 @query(f"WITH {_search_sql(20)} SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS rrf_score FROM (SELECT query_id, chunk_id, rank FROM dense UNION ALL SELECT query_id, chunk_id, rank FROM lex) GROUP BY 1, 2")
 def rrf_fuse(spark, d):
-    ch, q = latest(spark, d), questions(spark, d)
+    ch, q = stored(spark, d), questions(spark, d)
     a = dense.sparse_topk(embed.sparse(ch), embed.sparse(q, "query_id"), 20).select("query_id", "chunk_id", "rank")
     b = lexical.lexical_topk(ch.where("not is_parent"), q, 20).select("query_id", "chunk_id", "rank")
     return search.rrf(a.union(b)).withColumn("rrf_score", F.round("rrf_score", 6))
@@ -357,7 +368,7 @@ def lexicon_rewrite(spark, d):
 @query()
 def retrieve_hits(spark, d):
     """Wordings by the lexicon, search of each, fusion, reranking, parent expansion."""
-    ch, q = latest(spark, d), questions(spark, d)
+    ch, q = stored(spark, d), questions(spark, d)
     v = rewrite.rewrite(q, "lexicon", rewrite.lexicon(spark, GROUPS))
     return search.retrieve(ch, embed.sparse(ch), q, v, 20, 20, reranking=True)
 
