@@ -30,6 +30,8 @@ LONG_WORDS = 1000
 MAX_SAMPLES = 10_000
 #: A sentence votes for a second language if it has so many words and its cosine leads by so much.
 MIN_WORDS, MIN_LEAD = 4, 0.07
+#: Lead times words over the sentences of a second language: one long sentence or a very clear short one.
+MIN_EVIDENCE = 0.7
 #: Steepness of the confidence over cosines.
 SHARPNESS = 20.0
 
@@ -215,11 +217,14 @@ def _tagger(names: list[str], protos: np.ndarray):
                 end += 1
             weight: dict[int, int] = {}
             sure: dict[int, int] = {}
+            evidence: dict[int, float] = {}
             for k in range(begin, end):
                 weight[best[k]] = weight.get(best[k], 0) + sizes[k]
                 if sizes[k] >= MIN_WORDS and lead[k] >= MIN_LEAD:
                     sure[best[k]] = sure.get(best[k], 0) + sizes[k]
+                    evidence[best[k]] = evidence.get(best[k], 0.0) + float(lead[k]) * sizes[k]
             main = max(sure or weight, key=lambda c: ((sure or weight)[c], -c))
+            sure = {c: w for c, w in sure.items() if c == main or evidence[c] >= MIN_EVIDENCE}
             mixed = len(sure) > 1
             stretches: list[list] = []
             for k in range(begin, end):
