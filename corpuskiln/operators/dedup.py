@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..session import settle, ship
+from ..session import broadcast_if_small, settle, ship
 
 
 def text_key(text: Column) -> Column:
@@ -55,14 +55,24 @@ def near_links(chunks: DataFrame, threshold: float = 0.9, bands: int = 21, rows:
 
     With 21 bands of 6 a pair at the threshold of 0.9 is missed once in 7 million; the links found are verified exactly.
     """
+    return _links(word_sets(chunks, order or ["chunk_id"], bands, rows), threshold)
+
+
+def word_sets(chunks: DataFrame, order: list[str], bands: int = 21, rows: int = 6) -> DataFrame:
+    """``o, w, h, bands`` of every text with words: its place, words, their hash and band hashes; written once."""
     ship(chunks.sparkSession)
-    order = order or ["chunk_id"]
     t = chunks.select(F.struct(*order).alias("o"), F.array_sort(F.array_distinct(X.blank_words(F.col("text")))).alias("w")).where(F.size("w") > 0)
-    sets = t.groupBy(F.xxhash64("w").alias("h"), F.col("w")).agg(F.min("o").alias("o"))
-    sets = settle(sets.select("h", "o", "w", minhash(F.col("w"), bands, rows).alias("bands")), "minhash")
-    keys = sets.select("h", F.posexplode("bands").alias("band", "v"))
+    return settle(t.select("o", "w", F.xxhash64("w").alias("h"), minhash(F.col("w"), bands, rows).alias("bands")), "minhash")
+
+
+def _links(sets: DataFrame, threshold: float) -> DataFrame:
+    """Only the words of candidates are shuffled; copies meet as one hash."""
+    keys = sets.select("h", F.posexplode("bands").alias("band", "v")).distinct()
     pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.h") < F.col("y.h"))).select(F.col("x.h").alias("ha"), F.col("y.h").alias("hb")).distinct()
-    a, b = sets.select(F.col("h").alias("ha"), F.col("o").alias("oa"), F.col("w").alias("wa")), sets.select(F.col("h").alias("hb"), F.col("o").alias("ob"), F.col("w").alias("wb"))
+    pairs = settle(pairs, "minhash-pairs")
+    needed = settle(pairs.select(F.col("ha").alias("h")).union(pairs.select("hb")).distinct(), "minhash-needed")
+    words = settle(sets.join(broadcast_if_small(needed, 40), "h", "left_semi").groupBy("h").agg(F.min("o").alias("o"), F.first("w").alias("w")), "minhash-words")
+    a, b = words.toDF("ha", "oa", "wa"), words.toDF("hb", "ob", "wb")
     both = pairs.join(a, "ha").join(b, "hb")
     same = F.size(F.array_intersect("wa", "wb"))
     return both.where(same / (F.size("wa") + F.size("wb") - same) >= threshold).select(F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"))
@@ -90,9 +100,8 @@ def near_dedup(chunks: DataFrame, threshold: float = 0.9, order: list[str] | Non
     """Children without exact copies and without those that are near an earlier kept one; parents come along. Rows without a word go."""
     order = order or ["chunk_id"]
     parents = chunks.where(F.coalesce("is_parent", F.lit(False)))
-    own = chunks.where(~F.coalesce("is_parent", F.lit(False)) & (F.size(X.blank_words(F.col("text"))) > 0))
-    first = own.withColumn("__w", F.xxhash64(F.array_sort(F.array_distinct(X.blank_words(F.col("text"))))))
-    lead = first.groupBy("__w").agg(F.min(F.struct(*order)).alias("__o"))
-    one = first.join(lead, "__w").where(F.struct(*order) == F.col("__o")).drop("__w")
-    gone = keep_greedy(near_links(own, threshold, order=order))
-    return parents.unionByName(one.join(gone.select(F.col("b").alias("__o")), "__o", "left_anti").drop("__o").select(*chunks.columns))
+    own = chunks.where(~F.coalesce("is_parent", F.lit(False)))
+    sets = word_sets(own, order)
+    gone = keep_greedy(_links(sets, threshold))
+    kept = sets.groupBy("h").agg(F.min("o").alias("o")).join(gone.select(F.col("b").alias("o")), "o", "left_anti")
+    return parents.unionByName(own.join(kept.select("o.*"), order, "left_semi").select(*chunks.columns))

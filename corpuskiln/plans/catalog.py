@@ -277,7 +277,7 @@ def dedup_global(spark, d):
 
 @query()
 def dedup_near(spark, d):
-    return dedup.near_dedup(latest(spark, d)).select("chunk_id")
+    return dedup.near_dedup(stored(spark, d)).select("chunk_id")
 
 
 # ---- retrieval ----
