@@ -5,8 +5,8 @@ off; greedy string tiling finds answers that only repeat the question; a refusal
 speaker's inability, closing courtesy) finds declined answers; scripts and hyperdimensional profiles
 find answers in another language than the question's, unless the question asks for it.
 
-Every pair is judged alone, so the work is one pass without a shuffle; only the results of repeated
-rows meet. An answer has one defect, the first that holds of: empty, refusal, copies_question,
+A first pass sums the vectors of the questions of all pairs by language, a few vectors a task; then
+every pair is judged alone, in one pass without a shuffle; only the results of repeated rows meet. An answer has one defect, the first that holds of: empty, refusal, copies_question,
 other_language, truncated.
 """
 
@@ -183,11 +183,15 @@ def is_truncated(answer: str) -> bool:
 
 
 class Languages:
-    """Cosines of a text with the prototypes of answers, or of questions where those are known."""
+    """Cosines of a text with the prototypes of answers, or of questions; a language without a prototype of questions keeps that of answers
+    and stands in ``guessed``, so that it does not lose to every other."""
 
     def __init__(self, names: list[str], protos: np.ndarray, asking: tuple[list[str], np.ndarray] | None = None):
         self.answers = ([n.split("/")[0] for n in names], protos)
-        self.questions = ([n.split("/")[0] for n in asking[0]], asking[1]) if asking and len(asking[1]) else self.answers
+        asked, own = asking if asking and len(asking[1]) else (names, protos)
+        rest = [i for i, n in enumerate(names) if n not in asked]
+        self.guessed = {names[i] for i in rest}
+        self.questions = ([n.split("/")[0] for n in [*asked, *(names[i] for i in rest)]], np.concatenate([own, protos[rest]]))
         self.p = language.Profiles()
 
     def __call__(self, text: str, question: bool = False) -> dict[str, float]:
@@ -226,28 +230,50 @@ def other_language(question: str, answer: str, tongue: Languages) -> bool:
         return False
     if _script(question) and _script(answer) and _script(question) != _script(answer):
         return lead >= 0.03
+    if f"{la}/{language.script_of(question)}" in tongue.guessed:  # only if the question is surely in another language than all
+        return lead >= 0.06 and q[lq] - max(x for c, x in q.items() if c != lq) >= 0.1
     return lead >= 0.06 and q[lq] - q.get(la, -1.0) >= 0.03
 
 
-def asking_prototypes(pairs: DataFrame, names: list[str], protos: np.ndarray, id_col: str = "id") -> tuple[list[str], np.ndarray]:
-    """Prototypes of questions, fitted on at most ``language.MAX_SAMPLES`` pairs (the smallest ids): a question stands for the
-    language its answer is surely in. Few wrong pairs do not turn a sum over all; a prototype of wrong pairs alone nearly
-    equals that of a language with many more rows and is dropped."""
-    tongue, rows = Languages(names, protos), []
-    for q, a in pairs.where("question is not null and answer is not null").orderBy(id_col, "question", "answer").limit(language.MAX_SAMPLES).select("question", "answer").collect():
-        c = sorted(tongue(a).items(), key=lambda x: -x[1])
-        if len(c) > 1 and c[0][1] - c[1][1] >= 0.1 and len(a.split()) >= 6 and not any(n in q.lower() for n in sum(ASKED.values(), [])):
-            rows.append((c[0][0], q))
-    return purified(rows, set(names))
-
-
-def purified(rows: list[tuple[str, str]], known: set[str]) -> tuple[list[str], np.ndarray]:
-    """Prototypes of labelled rows, of known languages and scripts only, without those that nearly equal one of at least four times as many rows."""
-    names, protos = language.fit(rows)
-    count = dict.fromkeys(names, 0)
-    for lang, text in rows:
-        name = f"{lang}/{language.script_of(text)}"
-        count[name] = count.get(name, 0) + 1
+def sure_language(question: str, answer: str, tongue: Languages) -> str | None:
+    """The language an answer is surely in, null if it is in doubt or the question names a language."""
+    c = sorted(tongue(answer).items(), key=lambda x: -x[1])
+    if len(c) > 1 and c[0][1] - c[1][1] >= 0.1 and len(answer.split()) >= 6 and not any(n in question.lower() for n in sum(ASKED.values(), [])):
+        return c[0][0]
+    return None
+
+
+def asking_prototypes(pairs: DataFrame, names: list[str], protos: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Prototypes of questions, fitted on all pairs: a question stands for the language its answer is surely in. Each task sums whole
+    numbers, one vector a language and script, so the result does not depend on partitioning. Few wrong pairs do not turn a sum over
+    all; a prototype of wrong pairs alone nearly equals that of a language with many more rows and is dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tongue, total, count = Languages(names, protos), {}, {}
+        for b in batches:
+            for q, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                lang = sure_language(q, a, tongue)
+                ids = tongue.p.ids(map_look(q).lower().split()) if lang else []
+                if ids:
+                    name = f"{lang}/{language.script_of(q)}"
+                    total[name] = total.get(name, 0) + tongue.p.sum(ids).astype(np.int64)
+                    count[name] = count.get(name, 0) + 1
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(count.values()), pa.int64()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], names=["name", "n", "v"])
+
+    sums = pairs.where("question is not null and answer is not null").select("question", "answer").mapInArrow(run, "name string, n long, v array<long>")
+    rows = sums.select("name", "n", F.posexplode("v").alias("k", "x")).groupBy("name", "k").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()
+    total, count = {}, {}
+    for name, k, n, x in rows:
+        total.setdefault(name, np.zeros(language.DIM))[k] = x
+        count[name] = n
+    return purified(total, count, set(names))
+
+
+def purified(total: dict[str, np.ndarray], count: dict[str, int], known: set[str]) -> tuple[list[str], np.ndarray]:
+    """Unit prototypes of summed questions, of known languages and scripts only, without those that nearly equal one of at least four times as many rows."""
+    names = sorted(total)
+    protos = np.stack([total[n] / max(np.linalg.norm(total[n]), 1e-9) for n in names]).astype(np.float32) if names else np.zeros((0, language.DIM), dtype=np.float32)
     keep = [i for i, n in enumerate(names) if n in known and not any(count[m] >= 4 * count[n] and protos[i] @ protos[j] >= 0.7 for j, m in enumerate(names))]
     return [names[i] for i in keep], protos[keep]
 

@@ -70,3 +70,26 @@ def test_defects(spark):
 def test_long_answer():
     tongue = Q.Languages(*language.fit([("en", "the moon is here"), ("de", "der mond ist hier")]))
     assert Q.defect("What is it?", "the moon is here. " * 20_000, tongue) is None
+
+
+def test_question_languages_come_from_all_pairs(spark):
+    names, protos = language.prototypes(spark.read.parquet(f"{DATA}/lang_samples.parquet"))
+    en = "Holds that the lord of the ninth house occasionally governs the planet of the adversity beyond the cadent ascendant."
+    de = "Die Tafel der Häuser erweitert die Rechnung nach Graden, aber der Schüler schützt das Gemüt des Geborenen."
+    # the smallest ids, more than any sample of them, have no German
+    rows = [(i, f"Which rule does Nab{i} give about the ninth house?", en) for i in range(language.MAX_SAMPLES)]
+    rows += [(10**6 + i, f"Was sagt Mah{i} über das siebte Haus?", de) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, question string, answer string")
+    got, m = Q.asking_prototypes(df, names, protos)
+    again, n = Q.asking_prototypes(df.repartition(7), names, protos)
+    assert got == again == ["de/Latn", "en/Latn"] and (m == n).all()
+
+
+def test_language_without_question_prototype(spark):
+    names, protos = language.prototypes(spark.read.parquet(f"{DATA}/lang_samples.parquet"))
+    en = "Holds that the lord of the ninth house occasionally governs the planet of the adversity beyond the cadent ascendant."
+    de = "Die Tafel der Häuser erweitert die Rechnung nach Graden, aber der Schüler schützt das Gemüt des Geborenen."
+    tongue = Q.Languages(names, protos, language.fit([("en", f"Which rule does Nab{i} give about the ninth house?") for i in range(50)]))
+    assert not Q.other_language("Was sagt der Schüler über das siebte Haus und die Tafel?", de, tongue)
+    assert Q.other_language("Was sagt der Schüler über das siebte Haus und die Tafel?", en, tongue)
+    assert Q.other_language("Which rule does Naboma give about the ninth house?", de, tongue)
