@@ -7,8 +7,9 @@ apart; the mapping covers what it keeps apart although it looks alike: letters o
 full-width forms, ligatures, kinds of blanks, and accents in decomposed form (Spark's collation keys
 are taken without decomposition).
 
-A class is keyed by two hashes (96 bits) that Spark takes over the collation key, so rows of a
-class meet without shuffling any text, and the aggregation by class is partial before its shuffle.
+A class is keyed by two hashes (96 bits) of the collation key, so rows of a class meet without
+shuffling any text, and the aggregation by class is partial before its shuffle. The key is taken by
+Catalyst's ``CollationKey``: ``xxhash64`` and ``hash`` of a collated string see its raw characters.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import re
 import unicodedata
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,6 +97,13 @@ def mapped(text: Column) -> Column:
     return F.coalesce(_changed(text), text)
 
 
+def collation_key(text: Column) -> Column:
+    """The bytes by which Spark compares ``text`` under the ``UNICODE`` collation, as its joins on collated strings use them."""
+    jvm = SparkContext._active_spark_context._jvm
+    expressions = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    return Column(expressions.column(jvm.org.apache.spark.sql.catalyst.expressions.CollationKey(expressions.expression(F.collate(text, "UNICODE")._jc))))
+
+
 def look_classes(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """One row per id: ``id, look_a, look_b, text_hash``; the class is (look_a, look_b).
 
@@ -103,8 +112,8 @@ def look_classes(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text"
     """
     ship(df.sparkSession)
     texts = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    look = F.collate("look", "UNICODE")
-    rows = texts.withColumn("look", mapped(F.col("text"))).select("id", F.xxhash64("text").alias("text_hash"), F.xxhash64(look).alias("look_a"), F.hash(look).alias("look_b"))
+    rows = texts.select("id", F.xxhash64("text").alias("text_hash"), collation_key(mapped(F.col("text"))).alias("look"))
+    rows = rows.select("id", "text_hash", F.xxhash64("look").alias("look_a"), F.hash("look").alias("look_b"))
     return rows.groupBy("id").agg(F.min(F.struct("text_hash", "look_a", "look_b")).alias("m")).select("id", "m.look_a", "m.look_b", "m.text_hash")
 
 

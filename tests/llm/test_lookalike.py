@@ -33,6 +33,14 @@ def test_pairs_against_brute_force(spark):
     assert rows(L.look_pairs(df), "id_a", "id_b") == want
 
 
+def test_what_only_the_collation_equates(spark):
+    forms = ["fi na", "fi\u0001 na", "f\u009fi na"]
+    assert len({L.map_look(t) for t in forms}) == 3
+    df = spark.createDataFrame(list(zip("0123", [*forms, "fí na"])), "chunk_id string, text string")
+    assert rows(L.look_pairs(df), "id_a", "id_b") == [("0", "1"), ("0", "2"), ("1", "2")]
+    assert sorted(r["class_size"] for r in L.canonical_members(df).collect()) == [1, 3, 3, 3]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "chunk_id string, text string")
     assert L.look_pairs(df).count() == 0 and L.canonical_members(df).count() == 0
