@@ -9,8 +9,10 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import urls as U
+from ..functions import vectors as V
 from ..schema import SCHEMA_VERSION, chunk_id
 from ..session import ship
+from .embed import Embedder
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("overlap", T.IntegerType())]))
 
@@ -74,8 +76,6 @@ def semantic_windows(sentences: DataFrame, target: int, key: list[str]) -> DataF
 
     ``sentences`` has the key, ``pos, sentence, embedding`` (unit length). Output: key, ``window_no, text``.
     """
-    from ..functions import vectors as V
-
     w = Window.partitionBy(*key).orderBy("pos")
     s = sentences.withColumn("sim", V.dot(F.lag("embedding").over(w), F.col("embedding")))
     low = s.groupBy(*key).agg(F.percentile("sim", F.lit(0.25)).alias("low"))
@@ -118,9 +118,27 @@ def sections(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("section_no", F.sum(F.col("is_heading").cast("int")).over(w)).withColumn("section", F.last(F.when(F.col("is_heading"), F.col("text")), ignorenulls=True).over(w))
 
 
-def chunk_documents(blocks: DataFrame, docs: DataFrame, strategy: str = "structure", target: int = 400, share: float = 0.15, parent_max: int = 2000, min_tokens: int = 80) -> DataFrame:
+def section_sentences(blocks: DataFrame) -> DataFrame:
+    """``source_id, section_no, pos, sentence`` of the prose of every section."""
+    s = sections(blocks).where("not is_heading and block_type = 'text'").groupBy("source_id", "section_no").agg(F.array_sort(F.collect_list(F.struct("block_pos", "text"))).alias("b"))
+    body = X.py_strip(F.array_join(F.transform("b", lambda x: x["text"]), "\n"))
+    return s.select("source_id", "section_no", F.posexplode(X.sentences(body)).alias("pos", "sentence"))
+
+
+def semantic_sections(blocks: DataFrame, embedder: Embedder, target: int = 400) -> DataFrame:
+    """``source_id, section_no, window_no, text``: semantic windows of the prose of every section; a sentence that the embedder leaves out has cosine 0."""
+    s = section_sentences(blocks).withColumn("sid", F.concat_ws("/", "source_id", "section_no", "pos"))
+    v = embedder.transform(s, "sid", "sentence").select("sid", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    if embedder.encode is not None:  # hashing vectors have unit length; the norm is an array's element, so that it is taken once a vector
+        v = v.withColumn("embedding", F.zip_with("embedding", F.array_repeat(V.norm(F.col("embedding")) + 1e-8, F.size("embedding")), lambda x, n: x / n))
+    s = s.join(v, "sid", "left").withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0), embedder.dim)))
+    return semantic_windows(s, target, ["source_id", "section_no"])
+
+
+def chunk_documents(blocks: DataFrame, docs: DataFrame, strategy: str = "structure", target: int = 400, share: float = 0.15, parent_max: int = 2000, min_tokens: int = 80, embedder: Embedder | None = None) -> DataFrame:
     """Chunks of documents: prose of a section in windows behind its heading, tables and figures alone; with ``parent_child`` a parent
-    for each section that has prose. One shuffle by document.
+    for each section that has prose; with ``semantic`` and an embedder, windows where neighbouring sentences differ (without one as
+    ``structure``). One shuffle by document, and for the embedder's vectors one by sentence.
 
     ``blocks``: ``source_id, block_pos, text, page, is_heading, block_type``; ``docs``: ``source_id, title, lang, backend, page_count``.
     """
@@ -133,7 +151,12 @@ def chunk_documents(blocks: DataFrame, docs: DataFrame, strategy: str = "structu
     prose = F.filter("b", lambda x: x["block_type"] == "text")
     g = g.withColumn("prose", prose).withColumn("special", F.filter("b", lambda x: x["block_type"] != "text")).withColumn("body", X.py_strip(F.array_join(F.transform("prose", lambda x: x["text"]), "\n")))
     g = g.withColumn("s", X.sentences(F.col("body")))
-    g = g.withColumn("win", windows(F.col("s"), target, overlap_of(target, share), min_tokens))
+    if strategy == "semantic" and embedder is not None:
+        w = semantic_sections(blocks, embedder, target).groupBy("source_id", "section_no").agg(F.array_sort(F.collect_list(F.struct("window_no", "text"))).alias("w"))
+        cut = F.transform("w", lambda x, i: F.struct(x["text"].alias("text"), F.when(i > 0, overlap_of(target, share)).otherwise(0).alias("overlap")))
+        g = g.join(w, ["source_id", "section_no"], "left").withColumn("win", F.coalesce(cut, F.array().cast("array<struct<text:string,overlap:int>>")))
+    else:
+        g = g.withColumn("win", windows(F.col("s"), target, overlap_of(target, share), min_tokens))
     # the first block whose opening occurs in the window gives its page
     page_of = lambda w: F.coalesce(F.get(F.filter("prose", lambda x: F.contains(w, F.substring(x["text"], 1, 80))), F.lit(0))["page"], F.col("page_start"))
     empty = lambda t: F.lit(None).cast(t)

@@ -242,9 +242,7 @@ def chunk_pages(spark, d):
 
 @query()
 def semantic_windows(spark, d):
-    s = gold(spark, d).where("length(answer) > 200").select("question_id", F.posexplode(X.sentences(F.col("answer"))).alias("pos", "sentence")).withColumn("sid", F.concat_ws("/", "question_id", "pos"))
-    v = embed.dense(embed.sparse(s, "sid", "sentence", 256), "sid", 256)
-    return chunking.semantic_windows(s.join(v, "sid").withColumn("embedding", F.expr("transform(embedding, x -> double(x))")), 60, ["question_id"])
+    return chunking.semantic_sections(blocks(spark, d), embed.Embedder(dim=256), 60)
 
 
 @query(r"WITH b AS (SELECT DISTINCT ON (block_id) * FROM blocks), t AS (SELECT block_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*\|') AND NOT regexp_matches(x, '^\s*\|[\s|:-]*$') AND regexp_replace(x, '[|\s]', '', 'g') <> '') AS r FROM b WHERE block_type = 'table') SELECT block_id, len(r)::INTEGER AS n_rows FROM t WHERE len(r) >= 2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuskiln import schema
 from corpuskiln.operators import chunking, dag, dataset, dedup, dense, embed, evaluate, faithfulness, golden, lexical, rewrite, search, store
+from corpuskiln.plans import catalog
 from corpuskiln.sources import crawl, files, manifest, pdf
 from corpuskiln.streaming import worker
 
@@ -350,3 +351,22 @@ def test_empty_tables(spark):
     assert dedup.near_dedup(c).count() == 0 and lexical.lexical_topk(c, q, 5).count() == 0 and lexical.bm25_topk(c, q, 5).count() == 0
     assert search.search_chunks(c, embed.sparse(c), q, embed.sparse(q, "query_id")).count() == 0
     assert dense.dense_topk(spark.createDataFrame([], "vec_id long, embedding array<float>"), spark.createDataFrame([], "query_id long, embedding array<float>"), 3, "vec_id").count() == 0
+
+
+def test_semantic_chunks_by_an_embedder(spark):
+    said = "Mars is red. Mars is far. The sea is deep. The sea is salt. ..."
+    b = spark.createDataFrame([("d", 0, "Head", 1, True, "text"), ("d", 1, said, 1, False, "text"), ("d", 2, "|a|b|", 1, False, "table"), ("e", 0, "|c|d|", 1, False, "table")], "source_id string, block_pos int, text string, page int, is_heading boolean, block_type string")
+    docs = spark.createDataFrame([("d", "T", "en", "x", 1), ("e", "U", "en", "x", 1)], "source_id string, title string, lang string, backend string, page_count int")
+    model = embed.Embedder("model", 2, lambda texts: [[3.0, 0.0] if "Mars" in t else [0.0, 2.0] for t in texts])
+    got = rows(chunking.chunk_documents(b, docs, "semantic", embedder=model), "source_id", "chunk_index", "text", "overlap_tokens")
+    assert [x[2] for x in got] == ["Head\n\nMars is red. Mars is far.", "Head\n\nThe sea is deep. The sea is salt. ...", "Head\n\n|a|b|", "|c|d|"]
+    assert [x[3] for x in got] == [0, 60, 0, 0]
+    assert chunking.chunk_documents(b, docs, "semantic").count() == 3
+
+
+def test_semantic_windows_cover_every_section(spark):
+    d = "/root/testdata/sf0.001"
+    b = catalog.blocks(spark, d)
+    want = {(r[0], r[1]): r[2] for r in chunking.section_sentences(b).groupBy("source_id", "section_no").agg(F.sum(F.length("sentence") + 1)).collect()}
+    got = {(r[0], r[1]): r[2] for r in catalog.QUERIES["semantic_windows"](spark, d).groupBy("source_id", "section_no").agg(F.sum(F.length("text") + 1)).collect()}
+    assert got == want and {k[0] for k in got} == {r[0] for r in b.where("not is_heading and block_type = 'text'").select("source_id").distinct().collect()}
