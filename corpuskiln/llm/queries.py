@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import settle, table
+from ..session import broadcast_if_small, settle, table
 from . import language, lookalike, mixing, neardup, packing, qapairs, readlevel, scans, sitelines, tokens
 from .tables import all_texts, children, scanned_units
 
@@ -44,6 +44,10 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_members(table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "canonical_id", "class_size", "n_forms")
 
 
+def p4_text(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.canonical_text(table(spark, d, "chunks")).withColumnRenamed("id", "chunk_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return qapairs.defective_pairs(table(spark, d, "golden_rows"), table(spark, d, "lang_samples")).withColumnRenamed("id", "question_id")
 
@@ -61,7 +65,7 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(_sizes(spark, d), table(spark, d, "pack_specs")).where("n_pieces > 1").select("pack_name", "doc_id").distinct()
+    return packing.divided(p7_packed(spark, d))
 
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
@@ -73,13 +77,14 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix_sizes(spark: SparkSession, d: str) -> DataFrame:
-    own = F.broadcast(table(spark, d, "mix_targets").select("source").distinct())
+    own = broadcast_if_small(settle(table(spark, d, "mix_targets").select("source").distinct(), "mix-sources"), 100)
     docs = table(spark, d, "documents").join(own, "source", "left_semi")
     return settle(tokens.token_counts(docs, ["doc_id", "source"]), "mix-sizes")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.allocate(_mix_sizes(spark, d), table(spark, d, "mix_targets")).where("not reachable").select("mix_name", "source")
+    sizes, targets = _mix_sizes(spark, d), table(spark, d, "mix_targets")
+    return mixing.exhausted(mixing.select(sizes, targets), sizes, targets).select("mix_name", "source")
 
 
 def p8_selected(spark: SparkSession, d: str) -> DataFrame:
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_cleaned": p3_cleaned,
     "p4_found": p4_found,
     "p4_canonical": p4_canonical,
+    "p4_text": p4_text,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_repaired": p6_repaired,

@@ -23,7 +23,23 @@ def test_classes(spark):
     assert m["08"]["canonical_id"] == m["09"]["canonical_id"] and m["08"]["n_forms"] == 2
     assert m["11"]["canonical_id"] == m["13"]["canonical_id"] != m["12"]["canonical_id"]
     assert m["14"]["class_size"] == 2 and m["14"]["n_forms"] == 1 and "16" not in m
-    assert {r["text"] for r in L.canonical_text(df).collect() if r["id"] < "07"} == {"fi na"}
+    out = {r["id"]: r["text"] for r in L.canonical_text(df).collect()}
+    assert {out[f"{i:02d}"] for i in range(7)} == {"fi na"} and out["12"] == "५ a" and out["14"] == "" and "16" not in out and len(out) == len(m)
+
+
+def test_canonical_member_is_the_plain_one(spark):
+    # the smallest id and the majority are disguised; a text without a twin is brought to the common form, too
+    df = spark.createDataFrame([("0", "fі na"), ("1", "fі na"), ("2", "fi na"), ("3", "fi\u0001 na"), ("4", "ѕo lonely"), ("5", "𝐁𝐨𝐥𝐝 Ⅷ")], "chunk_id string, text string")
+    assert {r["canonical_id"] for r in L.canonical_members(df).collect() if r["id"] < "4"} == {"2"}
+    out = {r["id"]: r["text"] for r in L.canonical_text(df).collect()}
+    assert len({out[k] for k in "0123"}) == 1 and out["4"] == "so lonely" and out["5"] == "Bold VIII"
+
+
+def test_plain_texts_need_no_mapping(spark):
+    texts = ["plain ascii", "Ünïcode é “x” – y…", "नमस्ते दुनिया", "a  b", "a \nb", " a", "a ", "a\tb", "क़", "न\u093c", "ĳ", "a\u00adb"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", L._doubtful(L.F.col("text")).alias("d")).collect()
+    assert [r["i"] for r in sorted(got) if r["d"] is None] == [0, 1, 2]
+    assert all(L.map_look(texts[i]) == texts[i] for i in range(3))
 
 
 def test_pairs_against_brute_force(spark):

@@ -43,6 +43,47 @@ def test_pack(spark):
     assert P.pack(sizes.limit(0), specs).count() == 0
 
 
+def greedy(sizes, capacity):
+    """Largest first into the fullest bin that takes it, without the exchange."""
+    bins = []
+    pool = sorted(sizes, reverse=True)
+    while pool:
+        gap, rest = capacity, []
+        for n in pool:
+            if n <= gap:
+                gap -= n
+            else:
+                rest.append(n)
+        bins.append(capacity - gap)
+        pool = rest
+    return bins
+
+
+def test_groups_lose_little_and_the_exchange_gains(spark):
+    rng = random.Random(11)
+    sizes = [rng.randint(150, 480) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens long")
+    specs = spark.createDataFrame([("s", 1000)], "pack_name string, capacity_tokens int")
+    bins = lambda group: P.fill(P.pack(df, specs, group=group), specs).collect()[0]["n_bins"]
+    one, several, plain = bins(4000), bins(400), len(greedy(sizes, 1000))
+    assert one <= several <= one + 2 * 10
+    assert several < 0.99 * plain
+
+
+def test_many_specs(spark):
+    df = spark.createDataFrame([(1, 7), (2, 3), (3, 12)], "doc_id long, n_tokens long")
+    n = 2 * P.SPECS + 3
+    specs = spark.createDataFrame([(f"s{i}", 5 + i) for i in range(n)], "pack_name string, capacity_tokens int")
+    p = P.pack(df, specs).groupBy("pack_name").agg({"n_tokens": "sum"}).collect()
+    assert len(p) == n and {r[1] for r in p} == {22}
+
+
+def test_divided_documents_follow_from_the_bins(spark):
+    df = spark.createDataFrame([(1, 7), (2, 3), (3, 12)], "doc_id long, n_tokens long")
+    specs = spark.createDataFrame([("a", 6), ("b", 12)], "pack_name string, capacity_tokens int")
+    assert sorted(map(tuple, P.divided(P.pack(df, specs)).collect())) == [("a", 1), ("a", 3)]
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "<|endoftext|>"), (5, "शुभ दिन " * 3000)], "doc_id long, text string")
     n = {r["doc_id"]: r["n_tokens"] for r in T.token_counts(df, ["doc_id"]).collect()}
@@ -84,6 +125,22 @@ def test_selection_has_fixed_size_and_shares(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, M.select(sizes.repartition(7), targets).collect()))
 
 
+def test_exhausted_sources_are_those_out_of_reach(spark):
+    sizes, targets = mix(spark)
+    want = {(r["mix_name"], r["source"]) for r in M.allocate(sizes, targets).collect() if not r["reachable"]}
+    s = M.select(sizes, targets)
+    assert {(r["mix_name"], r["source"]) for r in M.exhausted(s, sizes, targets).collect()} == want
+    # it is the sample that decides: without its rows of n / a the source is no longer exhausted
+    assert ("n", "a") in want and ("n", "a") not in {(r["mix_name"], r["source"]) for r in M.exhausted(s.where("not (mix_name = 'n' and source = 'a')"), sizes, targets).collect()}
+
+
+def test_certain_documents_are_taken(spark):
+    sizes = spark.createDataFrame([(0, "a", 900), *((i, "a", 10) for i in range(1, 41)), (99, "b", 1300)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("m", "a", 0.4, 1), ("m", "b", 0.6, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    for seed in range(5):
+        assert 0 in {r["doc_id"] for r in M.select(sizes, targets, seed).collect()}
+
+
 def test_mix_edges(spark):
     sizes, targets = mix(spark)
     assert M.select(sizes.limit(0), targets).count() == 0 and M.allocate(sizes, targets.limit(0)).count() == 0
