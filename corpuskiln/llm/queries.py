@@ -33,7 +33,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return sitelines.without_repeated(table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "text", "n_removed")
+    return sitelines.without_repeated(table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "text", "n_removed", "n_blocks")
+
+
+def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return sitelines.block_report(table(spark, d, "chunks")).withColumnRenamed("site", "domain")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_segments": p2_segments,
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,
+    "p3_blocks": p3_blocks,
     "p4_found": p4_found,
     "p4_canonical": p4_canonical,
     "p4_text": p4_text,

@@ -49,6 +49,17 @@ def test_blocks_and_removal(spark):
     assert len(t) == 80
 
 
+def test_edges_settle_the_blocks(spark):
+    """Two lines far from each other are two blocks; only letterless lines between them make them one, a lettered one does not."""
+    rows = lambda mid: [(f"c{i}", f"Share this\n{mid(i)}All rights reserved\nbody {chr(97 + i)}", "s", f"p{i}") for i in range(12)]
+    cols = "chunk_id string, text string, domain string, source_id string"
+    blocks = lambda mid: S.block_report(spark.createDataFrame(rows(mid), cols)).count()
+    assert blocks(lambda i: "") == 1 and blocks(lambda i: "***\n\n42\n---\n") == 1
+    assert blocks(lambda i: f"own {chr(97 + i)}\n") == 2
+    got = S.without_repeated(spark.createDataFrame(rows(lambda i: f"own {chr(97 + i)}\n"), cols)).collect()
+    assert {(r["n_removed"], r["n_blocks"]) for r in got} == {(2, 2)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "chunk_id string, text string, domain string, source_id string")
     assert S.repeated_lines(df).count() == 0 and S.without_repeated(df).count() == 0
