@@ -77,17 +77,19 @@ def _mapping() -> dict[str, str]:
 
 _MAP = _mapping()
 _TABLE = str.maketrans(_MAP)
-_SUSPECT = re.compile("[" + re.escape("".join(_MAP)) + "]")
+#: Characters that may be mapped: those of the first plane, and all beyond it.
+_SUSPECT = re.compile("[" + re.escape("".join(c for c in _MAP if c < "\U00010000")) + "\U00010000-\U0010ffff]")
 _CONTROL = re.compile("[\x00-\x08\x0b-\x1f\x7f-\x9f]")
 _BLANKS = re.compile("[ \t\r]+")
 
 
 def map_look(text: str) -> str:
     """``text`` with look-alikes mapped, invisible characters dropped and runs of blanks made one. A line feed stays: it is seen."""
-    if _SUSPECT.search(text):
-        text = text.replace("\u00ad\n", "-\n").translate(_TABLE)
-    if not unicodedata.is_normalized("NFC", text):
-        text = unicodedata.normalize("NFC", text)
+    if not text.isascii():
+        if _SUSPECT.search(text):
+            text = text.replace("\u00ad\n", "-\n").translate(_TABLE)
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
     if "  " in text or "\t" in text or "\r" in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
         text = _BLANKS.sub(" ", text).replace(" \n", "\n").replace("\n ", "\n").strip(" ")
     return text
@@ -106,7 +108,7 @@ def _changed(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.IntegerType())
 def _count_changed(texts: pd.Series) -> pd.Series:
-    return pd.Series([0 if t is None else len(_SUSPECT.findall(t)) + len(_CONTROL.findall(t)) + (not unicodedata.is_normalized("NFC", t)) for t in texts], dtype="int32")
+    return pd.Series([0 if t is None else sum(c in _MAP for c in _SUSPECT.findall(t)) + len(_CONTROL.findall(t)) + (not unicodedata.is_normalized("NFC", t)) for t in texts], dtype="int32")
 
 
 #: A text without any of these is its own mapped form: what is neither ASCII, a composed Latin nor a Devanagari letter, and blanks in runs or at ends of lines.
@@ -126,7 +128,7 @@ def mapped(text: Column) -> Column:
 def collation_key(text: Column) -> Column:
     """The bytes by which Spark compares ``text`` under the ``UNICODE`` collation, as its joins on collated strings use them."""
     own, private = _foreign_digits()
-    text = F.when(text.rlike("[" + own + "]"), F.translate(text, own, private)).otherwise(text)
+    text = F.when(text.rlike(r"[\p{Nd}&&[^0-9]]"), F.translate(text, own, private)).otherwise(text)
     jvm = SparkContext._active_spark_context._jvm
     expressions = jvm.org.apache.spark.sql.classic.ExpressionUtils
     return Column(expressions.column(jvm.org.apache.spark.sql.catalyst.expressions.CollationKey(expressions.expression(F.collate(text, "UNICODE")._jc))))
