@@ -4,8 +4,9 @@ Method: hyperdimensional profiles. Each letter has a random vector of +1 and -1;
 product of its letters' vectors, each rotated by its place; a word, a sentence and a language are the
 sums of their n-grams. A sentence gets the language whose prototype has the largest cosine with it.
 
-Texts are split into sentences; headings, tables, quotations and bracketed asides give no evidence.
-A text is mixed when whole sentences of several languages stand in it. Word vectors are kept per
+Texts are split into sentences; tables, quotations and bracketed asides give no evidence, headings and
+sentences that break off only for their own stretch, or where there is no whole sentence. A text is
+mixed when whole sentences of several languages stand in it. Word vectors are kept per
 task for up to CACHE words, so the work is a gather and a sum for each word.
 """
 
@@ -46,24 +47,32 @@ SPELLINGS = {
 }
 
 
-def label_of(label: Column) -> Column:
-    """The language a label names: en, de, fr, es, it or hi; null for none, another or unknown ones. Regions and case are set aside."""
+def label_of(label: Column, known: list[str] | None = None) -> Column:
+    """The language a label names: en, de, fr, es, it or hi in the spellings above, or the code of another language that the samples hold
+    (``known``); null for none, another or unknown ones. Regions and case are set aside."""
     name = F.lower(F.regexp_extract(F.trim(label), r"^([\p{L}\p{M}]+)(?:[-_][\p{L}\p{N}_-]*)?$", 1))
     out = F.lit(None).cast("string")
-    for code, names in SPELLINGS.items():
+    for code, names in ({c: c for c in known or [] if c not in SPELLINGS} | SPELLINGS).items():
         out = F.when(name.isin(names.split()), F.lit(code)).otherwise(out)
     return out
 
 
-_ASIDE = re.compile(r'"[^"\n]{0,200}"|“[^”\n]{0,200}”|„[^“”\n]{0,200}[“”]|«[^»\n]{0,200}»|\([^()\n]{0,200}\)|\[[^\[\]\n]{0,200}\]')
+def _aside(left: str, right: str) -> str:
+    """A quotation or bracket of any length in which no new sentence begins."""
+    return rf"{left}(?:[^{right}\n.!?।]|[.!?।](?!\s+[^\W\d_a-zß-ÿ]))*+{right}"
+
+
+_ASIDE = re.compile("|".join([_aside('"', '"'), _aside("“", "”"), _aside("«", "»"), _aside(r"\(", r"\)"), _aside(r"\[", r"\]"), _aside("„", "“”").removesuffix("“”") + "[“”]"]))
 _SENTENCE = re.compile(r"[^.!?।]*(?:[.!?।](?![\s)\"'”»]|$)[^.!?।]*)*[.!?।]+")
 _END = ".!?।"
 _LETTERS = re.compile(r"[^\W\d_]")
+_DEVANAGARI = re.compile("[ऀ-ॿ]")
 
 
-def sentences(text: str) -> list[str]:
-    """Whole sentences of a text: wrapped lines are joined; lines that end without a full stop (headings, site lines), table rows and asides are left out."""
-    out: list[str] = []
+def sentences(text: str) -> list[tuple[str, bool]]:
+    """Sentences of a text and whether each is whole: wrapped lines are joined, table rows and asides are left out. What stands behind the last
+    full stop of a line (a heading, a site line, a text that breaks off) is no whole sentence."""
+    out: list[tuple[str, bool]] = []
     for para in text.split("\n\n"):
         held = ""
         pieces: list[str] = []
@@ -84,10 +93,18 @@ def sentences(text: str) -> list[str]:
         for p in pieces:
             if '"' in p or "(" in p or "“" in p or "«" in p or "„" in p or "[" in p:
                 p = _ASIDE.sub(" ", p)
-            out += _SENTENCE.findall(p)
+            end = 0
+            for m in _SENTENCE.finditer(p):
+                out.append((m.group(0), True))
+                end = m.end()
+            if p[end:].strip():
+                out.append((p[end:], False))
     return out
 
 
+_AROUND = ".,;:!?()\"'[]“”‘’«»…-–—।"
+
+
 class Profiles:
     """Word vectors and prototypes. Random letter vectors follow from the letters alone, so every task draws the same."""
 
@@ -124,16 +141,21 @@ class Profiles:
         return k
 
     def _add(self, word: str) -> int:
-        bare = "".join(c for c in word if unicodedata.category(c)[0] in "LM")
+        bare = word.strip(_AROUND)
+        if not bare.isalpha():
+            bare = "".join(c for c in bare if unicodedata.category(c)[0] in "LM")
         if not _LETTERS.search(bare):
             self.index[word] = 0
             return 0
+        if bare in self.index:
+            k = self.index[word] = self.index[bare]
+            return k
         if len(self.grams) > CACHE:
             self.grams, self.letters = {}, {}
         padded = f" {bare} "
         grams = [self._gram(padded[i : i + GRAM]) for i in range(len(padded) - GRAM + 1)]
         k = self.used = self.used + 1
-        self.index[word] = k
+        self.index[word] = self.index[bare] = k
         if k >= len(self.vectors):
             self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
         self.vectors[k] = np.add.reduce(self.gram_vectors[grams], axis=0, dtype=np.int16)
@@ -158,11 +180,12 @@ class Profiles:
 
 def script_of(text: str) -> str:
     """Deva if most letters are Devanagari, else Latn."""
-    return "Deva" if sum("ऀ" <= c <= "ॿ" for c in text) * 2 > len(_LETTERS.findall(text)) else "Latn"
+    n = len(_DEVANAGARI.findall(text))
+    return "Deva" if n and n * 2 > len(_LETTERS.findall(text)) else "Latn"
 
 
 def fit(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
-    """Names and unit prototypes; a language written in Latin and Devanagari letters has one prototype for each script. What all languages share is taken out."""
+    """Names and unit prototypes; a language written in Latin and Devanagari letters has one prototype for each script."""
     p, total, count = Profiles(), {}, {}
     for lang, text in rows:
         words = map_look(text).lower().split()
@@ -192,14 +215,16 @@ def _tagger(names: list[str], protos: np.ndarray):
         vectors: list[np.ndarray] = []
         owner: list[int] = []
         sizes: list[int] = []
+        whole: list[bool] = []
         for i, t in enumerate(texts):
-            for s in sentences(map_look(t)) if t else ():
+            for s, done in sentences(map_look(t)) if t else ():
                 words = p.ids(s.lower().split())
                 if words:
                     owner.append(i)
                     sizes.append(len(words))
+                    whole.append(done)
                     vectors.append(p.sum(words))
-        found: list[tuple] = [(None, None, False, [], [], [], [])] * len(texts)
+        found: list[tuple] = [(None, None, False, False, [], [], [], [])] * len(texts)
         if not owner or not len(protos):
             return found
         v = np.stack(vectors).astype(np.float32)
@@ -218,7 +243,10 @@ def _tagger(names: list[str], protos: np.ndarray):
             weight: dict[int, int] = {}
             sure: dict[int, int] = {}
             evidence: dict[int, float] = {}
+            has_sentence = any(whole[begin:end])
             for k in range(begin, end):
+                if has_sentence and not whole[k]:
+                    continue  # headings do not outvote sentences
                 weight[best[k]] = weight.get(best[k], 0) + sizes[k]
                 if sizes[k] >= MIN_WORDS and lead[k] >= MIN_LEAD:
                     sure[best[k]] = sure.get(best[k], 0) + sizes[k]
@@ -228,7 +256,10 @@ def _tagger(names: list[str], protos: np.ndarray):
             mixed = len(sure) > 1
             stretches: list[list] = []
             for k in range(begin, end):
-                c = best[k] if mixed and best[k] in sure and (sizes[k] >= MIN_WORDS and lead[k] >= MIN_LEAD) else (stretches[-1][0] if mixed and stretches else main)
+                clear = sizes[k] >= MIN_WORDS and lead[k] >= MIN_LEAD
+                # an unfinished sentence stands for its own language if it alone has the evidence, but does not make the text mixed
+                own = clear and (best[k] in sure if whole[k] else float(lead[k]) * sizes[k] >= MIN_EVIDENCE)
+                c = best[k] if own else (stretches[-1][0] if mixed and stretches else main)
                 share = float(conf[k]) if c == best[k] else float(e[k, c] / e[k].sum())
                 if stretches and stretches[-1][0] == c:
                     stretches[-1][1] += sizes[k]
@@ -241,6 +272,7 @@ def _tagger(names: list[str], protos: np.ndarray):
                 codes[main],
                 sum(s[2] for s in own) / max(1, sum(s[1] for s in own)),
                 mixed,
+                has_sentence,
                 [codes[c] for c in sorted(sure or {main: 1})],
                 [codes[s[0]] for s in stretches],
                 [s[2] / s[1] for s in stretches],
@@ -262,20 +294,21 @@ def _tagger(names: list[str], protos: np.ndarray):
                         p.clear()
                     out += block(p, texts[lo : k + 1])
                     lo, held = k + 1, 0
-            cols = list(zip(*out)) if out else [()] * 7
-            types = [pa.string(), pa.float64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, types))], names=["id", "label", "lang", "confidence", "mixed", "langs", "seg_lang", "seg_confidence", "seg_words"])
+            cols = list(zip(*out)) if out else [()] * 8
+            types = [pa.string(), pa.float64(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, types))], names=["id", "label", "lang", "confidence", "mixed", "has_sentence", "langs", "seg_lang", "seg_confidence", "seg_words"])
 
     return run
 
 
-_SCHEMA = "id string, label string, lang string, confidence double, mixed boolean, langs array<string>, seg_lang array<string>, seg_confidence array<double>, seg_words array<int>"
+_SCHEMA = "id string, label string, lang string, confidence double, mixed boolean, has_sentence boolean, langs array<string>, seg_lang array<string>, seg_confidence array<double>, seg_words array<int>"
 
 
 def detect(df: DataFrame, samples: DataFrame, id_col: str = "chunk_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """A row per row of ``df``: ``id, label, lang, confidence, mixed, langs`` and the stretches of one language as ``seg_*`` arrays.
+    """A row per row of ``df``: ``id, label, lang, confidence, mixed, has_sentence, langs`` and the stretches of one language as ``seg_*`` arrays.
 
-    Null, empty and sentence-less texts have null lang and empty arrays. Repeated rows stay repeated (equal rows give
+    A text without a whole sentence gets the language of its words. Null and empty texts, and those without a word, have null lang and
+    empty arrays. Repeated rows stay repeated (equal rows give
     equal results). Other columns are ignored; with no samples every language is null.
     """
     ship(df.sparkSession)
@@ -291,7 +324,8 @@ def segments(df: DataFrame, samples: DataFrame, **kw) -> DataFrame:
 
 
 def wrong_labels(df: DataFrame, samples: DataFrame, **kw) -> DataFrame:
-    """``id, lang``: of texts in one language whose label names none or another, the right one; of mixed texts, every language."""
-    d = detect(df, samples, **kw).where(F.col("lang").isNotNull())
-    wrong = F.col("mixed") | ~label_of(F.col("label")).eqNullSafe(F.col("lang"))
+    """``id, lang``: of texts in one language whose label names none or another, the right one; of mixed texts, every language. Texts without a whole sentence have no row."""
+    d = detect(df, samples, **kw).where("lang is not null and has_sentence")
+    known = [r[0] for r in samples.select("lang").where("lang is not null").distinct().limit(MAX_SAMPLES).collect()]
+    wrong = F.col("mixed") | ~label_of(F.col("label"), known).eqNullSafe(F.col("lang"))
     return d.where(wrong).select("id", F.explode("langs").alias("lang")).distinct()

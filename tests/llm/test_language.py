@@ -38,6 +38,27 @@ def test_found_and_segments(spark, samples):
     assert all(0 < r["confidence"] <= 1 for r in L.segments(df, samples).collect())
 
 
+def test_text_without_full_stop(spark, samples):
+    rows = [
+        ("a", "This is fine and good as it stands here. Und dann kam der lange Satz über die Tafel der Häuser ganz ohne Punkt", "en"),
+        ("b", "Und dann kam der lange Satz über die Tafel der Häuser ganz ohne Punkt", None),
+        ("c", 'The rule holds for the moon and the sun. "' + "Der Schüler liest die Tafel der Häuser und schreibt, " * 30 + 'er lernt" is what he wrote here.', "en"),
+    ]
+    df = spark.createDataFrame(rows, "chunk_id string, text string, lang string")
+    seg = {}
+    for r in L.segments(df, samples).orderBy("id", "seg_no").collect():
+        seg.setdefault(r["id"], []).append(r["lang"])
+    assert seg == {"a": ["en", "de"], "b": ["de"], "c": ["en"]}
+    assert L.wrong_labels(df, samples).count() == 0
+
+
+def test_a_seventh_language(spark, samples):
+    pt = ["A lua está na nona casa e não ajuda o senhor do ascendente.", "O livro diz que as casas são contadas depois do nascer do sol.", "Não há nenhuma regra que não tenha sido escrita pelos mestres."]
+    more = samples.union(spark.createDataFrame([(1000 + i, "pt", t) for i, t in enumerate(pt * 3)], samples.schema))
+    df = spark.createDataFrame([("a", " ".join(pt), "pt"), ("b", " ".join(pt), "en")], "chunk_id string, text string, lang string")
+    assert [tuple(r) for r in L.wrong_labels(df, more).collect()] == [("b", "pt")]
+
+
 def test_empty(spark, samples):
     df = spark.createDataFrame([("a", "Some text is here.", "en")], "chunk_id string, text string, lang string")
     assert L.wrong_labels(df.limit(0), samples).count() == 0
