@@ -34,17 +34,14 @@ CONFUSIONS = [
 ]
 #: A frequent word stands at least so often in the corpus, and so many times as often as its variant.
 FREQUENT, RATIO = 10, 20
-#: Words with a misrecognised character a text needs to count as misread.
-MISREAD = 4
-#: Of four such words one may be a name that the corpus does not know, so three sure ones stand for four.
+#: Words with a misrecognised character a text needs to count as misread: of the four asked for one may be a name that the corpus does
+#: not know, so three sure ones stand for four.
 SURE = 3
 HYPHENS = "-‐¬­‑"
 _EDGES = ".,;:!?()\"'।॥“”„«»[]|’‘*_#…–—<>{}"
 _NUMBER = re.compile(r"^\W{0,4}(?:p|pp|pag|page|pg|s|seite|página|pagina|पृष्ठ)?\.?\s*(?:[0-9०-९]{1,3}|[ivxlcdm]{1,8})\W{0,4}$", re.I)
 _AROUND = re.compile(r"^\W*(?:[0-9०-९]{1,5}|[ivxlcdm]{1,8}(?=\s))?\W*(.*?)\W*(?:\s[0-9०-९]{1,5}|\s[ivxlcdm]{1,8})?\W*$", re.I | re.S)
 _STOP = re.compile(r"[.!?।॥,;:][\"'”’»)\]]*$")
-_SYMBOL = re.compile(r"[^\W\d_][@$0-9]+[^\W\d_]|^[@$][^\W\d_]|^[0-9][^\W\d_]{3,}$|[^\W\d_]{3,}[@$0-9]$")
-_ORDINAL = re.compile(r"^\d+(?:st|nd|rd|th|e|er|re|ème|º|ª|°|ste|te|व|वें|वाँ|वीं)?$")
 
 
 def letters(line: str) -> str:
@@ -226,7 +223,12 @@ def analyse(units: DataFrame) -> DataFrame:
     """
     ship(units.sparkSession)
     one = units.where("text is not null and record_id is not null").groupBy("record_type", "record_id").agg(F.min(F.struct("text", "title", "heading")).alias("u"))
-    return one.select("record_type", "record_id", "u.title", "u.heading", "u.text").mapInArrow(_analyse, _PARTS)
+    # dealt out to all cores: the shuffle before is small in bytes, the parsing behind it is not
+    return one.repartition(2 * spark_cores(units)).select("record_type", "record_id", "u.title", "u.heading", "u.text").mapInArrow(_analyse, _PARTS)
+
+
+def spark_cores(df: DataFrame) -> int:
+    return max(1, df.sparkSession.sparkContext.defaultParallelism)
 
 
 def _value(word):
@@ -234,6 +236,19 @@ def _value(word):
     return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda a, c: a + F.when(c == "", 0).otherwise(F.xxhash64(c).bitwiseAND(F.lit((1 << 47) - 1))))
 
 
+#: Words of fewer characters have no place for three confusions.
+LONG = 6
+
+
+def _plain(word):
+    """A word with every confusable part written one way, so that a word and what the recognition made of it are the same."""
+    for good, bad in sorted(CONFUSIONS, key=lambda c: -len(c[1])):
+        if len(bad) > 1 or bad in "@69105$":
+            word = F.replace(word, F.lit(bad), F.lit(good))
+    word = F.replace(word, F.lit("in"), F.lit("m"))
+    return F.translate(word, "eif", "clt")
+
+
 def _undo(word: str, good: str, bad: str) -> set[str]:
     out, at = set(), word.find(bad)
     while at >= 0:
@@ -252,14 +267,16 @@ def _reaches(rare: pd.Series, word: pd.Series, first: pd.Series, second: pd.Seri
 
 
 def corrections(words: DataFrame, counts: DataFrame) -> DataFrame:
-    """``word, correct, n_replaced`` of each word that is far rarer than a frequent word it becomes by undoing one or two confusions.
+    """``word, correct, n_replaced`` of each word that is far rarer than a frequent word it becomes by undoing confusions.
 
-    ``words`` has the words to judge, ``counts`` the words of the whole corpus with their counts. Of several frequent words the one of
-    fewest replacements, then the most frequent, then the first in order is taken.
+    ``words`` has the words to judge, ``counts`` the words of the whole corpus with their counts. One or two confusions are undone by
+    the difference of the anagram values; words with more of them, however many, meet frequent words on the value of their plain form,
+    in which every confusable part is written one way (``n_replaced`` is then the edit distance, 3 at least). Of several frequent words
+    the one of fewest replacements, then the most frequent, then the first in order is taken.
     """
     spark = words.sparkSession
     ship(spark)
-    frequent = settle(counts.where((F.col("n") >= FREQUENT) & (F.length("word") >= 3) & ~F.col("word").rlike(r"[@$0-9]")).select(F.col("word").alias("correct"), F.col("n").alias("n_correct"), _value(F.col("word")).alias("value")), "scan-frequent")
+    frequent = settle(counts.where((F.col("n") >= FREQUENT) & (F.length("word") >= 3) & ~F.col("word").rlike(r"[@$0-9]")).select(F.col("word").alias("correct"), F.col("n").alias("n_correct"), _value(F.col("word")).alias("value"), _plain(F.col("word")).alias("plain")), "scan-frequent")
     own = words.select("word").distinct().where((F.length("word") >= 3) & ~F.col("word").rlike(r"^[\W\d_]*$")).join(counts, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("n"))
     confusions = [(k, good, bad) for k, (good, bad) in enumerate(CONFUSIONS)]
     held = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(good).alias("good"), F.lit(bad).alias("bad")) for k, good, bad in confusions]), lambda c: F.contains(F.col("word"), c["bad"]))
@@ -269,8 +286,11 @@ def corrections(words: DataFrame, counts: DataFrame) -> DataFrame:
     base = tries.select("word", "n", F.col("a.k").alias("first"), F.col("b.k").alias("second"), (_value(F.col("word")) + step("a")).alias("one"), step("b").alias("two"))
     once = base.where("first = second").select("word", "n", "first", F.lit(-1).alias("second"), F.col("one").alias("value"))
     twice = base.select("word", "n", "first", "second", (F.col("one") + F.col("two")).alias("value"))
-    hits = once.union(twice).join(broadcast_if_small(frequent, 80), "value").where((F.col("n_correct") >= RATIO * F.col("n")) & (F.col("word") != F.col("correct")))
+    hits = once.union(twice).join(broadcast_if_small(frequent, 120), "value").where((F.col("n_correct") >= RATIO * F.col("n")) & (F.col("word") != F.col("correct")))
     good = hits.where(_reaches("word", "correct", "first", "second")).withColumn("n_replaced", F.when(F.col("second") < 0, 1).otherwise(2))
+    hard = own.where(F.length("word") >= LONG).withColumn("plain", _plain(F.col("word"))).join(broadcast_if_small(frequent.where(F.length("correct") >= LONG), 120), "plain")
+    hard = hard.where((F.col("n_correct") >= RATIO * F.col("n")) & (F.levenshtein("word", "correct") >= 3)).withColumn("n_replaced", F.levenshtein("word", "correct"))
+    good = good.select("word", "correct", "n_correct", "n_replaced").union(hard.select("word", "correct", "n_correct", "n_replaced"))
     best = good.groupBy("word").agg(F.min(F.struct("n_replaced", (-F.col("n_correct")).alias("m"), "correct")).alias("b"))
     return best.select("word", "b.correct", "b.n_replaced")
 
