@@ -36,6 +36,10 @@ BAND = 1.4
 SPARE = 1.1
 #: Words that at least this share of the documents hold are counted for the order of parts; at most FREQUENT of them.
 FREQUENT_SHARE, FREQUENT = 0.001, 65536
+#: Groups a task remembers, so as not to emit their keys again.
+SEEN = 500_000
+#: A key with more groups than this is hot: its groups are dealt out by a salt.
+HOT = 2_000
 _U = np.uint64
 
 
@@ -196,11 +200,13 @@ def _emitter(shingle: int, t: Threshold, freq: np.ndarray, weight: np.ndarray, a
                     order = np.argsort((score << 24) | (key >> _U(40)).astype(np.int64), axis=1, kind="stable")[:, : int(prefix.max())]
                     keep = np.arange(order.shape[1])[None, :] < prefix[:, None]
                     chosen = np.take_along_axis(key, order, axis=1)
-                    if not up:
-                        g = np.where(keep, _mix(chosen), _U(0)).sum(axis=1, dtype=np.uint64)
-                        grp[own] = _mix(g + size[own].astype(np.uint64)) ^ _mix(bits[own, 0] + _U(1)) ^ _mix(bits[own, 1] + _U(2))
+                    # the prefix for the next band counts, too: members of a group emit the same keys
+                    g = np.where(keep, _mix(chosen), _U(0)).sum(axis=1, dtype=np.uint64)
+                    grp[own] ^= _mix(g + _U(up)) if up else _mix(g + size[own].astype(np.uint64)) ^ _mix(bits[own, 0] + _U(1)) ^ _mix(bits[own, 1] + _U(2))
                     out.append((up, own, chosen, keep))
             yield rows(0, pa.array(ids, pa.string()), sig, grp, sig, size, sig, sig)
+            if len(seen) > SEEN:  # a group whose keys are emitted again changes nothing
+                seen.clear()
             fresh = np.zeros(len(ids), dtype=bool)
             for i, g in enumerate(grp.tolist()):
                 if g not in seen:
@@ -239,14 +245,22 @@ def near_links(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
         "neardup-keys",
     )
     members = settle(emitted.where("kind = 0").groupBy("id").agg(F.min(F.struct("sig", "grp", "n")).alias("m")).select("id", "m.sig", "m.grp", "m.n"), "neardup-members")
-    keys = emitted.where("kind = 1").select("key", "grp", "n", "b1", "b2").repartition("key")
-    a, b = keys.alias("a"), keys.alias("b")
+    keys = emitted.where("kind = 1").select("key", "grp", "n", "b1", "b2")
+    # the left groups of a hot key are dealt out over as many salts as it holds HOT groups, the right ones go to each salt
+    hot = settle(keys.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("key", F.ceil(F.col("k") / HOT).cast("int").alias("salts")), "neardup-hot")
+    hot = broadcast_if_small(hot, 24)
     na, nb = F.expr("a.n div 2"), F.expr("b.n div 2")
     s = na + nb
     most = s - 2 * F.floor((num * s + (num + den - 1)) / (num + den))
     apart = F.bit_count(F.col("a.b1").bitwiseXOR(F.col("b.b1"))) + F.bit_count(F.col("a.b2").bitwiseXOR(F.col("b.b2")))
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.grp") < F.col("b.grp")) & F.expr("(a.n & 1) + (b.n & 1) < 2") & (na * den >= nb * num) & (nb * den >= na * num) & (apart <= most)
-    groups = settle(a.join(b, on).select(F.col("a.grp").alias("grp_a"), F.col("b.grp").alias("grp_b")).distinct(), "neardup-groups")
+    near = (F.col("a.grp") < F.col("b.grp")) & F.expr("(a.n & 1) + (b.n & 1) < 2") & (na * den >= nb * num) & (nb * den >= na * num) & (apart <= most)
+    both = [F.col("a.grp").alias("grp_a"), F.col("b.grp").alias("grp_b")]
+    cold, salted = keys.join(hot, "key", "left_anti"), keys.join(hot, "key")
+    meet = cold.alias("a").join(cold.alias("b"), (F.col("a.key") == F.col("b.key")) & near).select(*both)
+    left = salted.withColumn("salt", F.pmod(F.xxhash64("grp"), F.col("salts")).cast("int")).alias("a")
+    right = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("b")
+    crowd = left.join(right, (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")) & near).select(*both)
+    groups = settle(meet.union(crowd).distinct(), "neardup-groups")
     sets = members.groupBy("grp", "sig").agg(F.min("id").alias("id"))
     several = sets.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
     pairs = settle(
