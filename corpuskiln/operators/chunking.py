@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,23 +19,15 @@ _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 
 
 def spans(tokens: list[int], target: int, overlap: int) -> list[tuple[int, int, int]]:
-    """Windows over sentence sizes: filled while they fit (one sentence at least); the next starts so far back that it repeats
-    ``overlap`` tokens, but after the last start."""
-    out: list[tuple[int, int, int]] = []
-    start, n = 0, len(tokens)
-    while start < n:
-        stop, size = start + 1, tokens[start]
-        while stop < n and size + tokens[stop] <= target:
-            size += tokens[stop]
-            stop += 1
-        out.append((start, stop, overlap if out else 0))
-        if stop == n:
-            break
-        back, k = 0, stop
-        while k > start and back < overlap:
-            k -= 1
-            back += tokens[k]
-        start = max(k, start + 1)
+    """Windows over sentence sizes, found on their running total: a window ends before the total passes its own start plus ``target``
+    (one sentence at least), and the next begins at the last sentence from which ``overlap`` tokens are repeated, but after the last start."""
+    total = np.concatenate([[0], np.cumsum(np.asarray(tokens, dtype=np.int64))])
+    until = lambda x: int(np.searchsorted(total, x, side="right")) - 1
+    out, at, n = [], 0, len(tokens)
+    while n and (not out or out[-1][1] < n):
+        end = max(until(total[at] + target), at + 1)
+        out.append((at, end, overlap if out else 0))
+        at = max(until(total[end] - overlap), at + 1)
     return out
 
 
@@ -57,10 +50,11 @@ def windows(sentences: Column, target: int, overlap: int, min_tokens: int = 0) -
     w = F.transform(cut, lambda s: F.struct(F.array_join(F.slice(sentences, s["start"] + 1, s["stop"] - s["start"]), " ").alias("text"), s["overlap"].alias("overlap")))
     if min_tokens <= 0:
         return w
-    n = F.size(w)
-    last, prev = F.get(w, n - 1), F.get(w, n - 2)
-    merged = F.concat(F.slice(w, 1, F.greatest(n - 2, F.lit(0))), F.array(F.struct(F.concat_ws(" ", prev["text"], last["text"]).alias("text"), prev["overlap"].alias("overlap"))))
-    return F.when((n > 1) & (X.count_tokens(last["text"]) < min_tokens), merged).otherwise(w)
+    # the windows are bound once; the last two are joined where the last is too small
+    short = lambda x: (F.size(x) > 1) & (X.count_tokens(F.element_at(x, -1)["text"]) < min_tokens)
+    tail = lambda x: F.struct(F.concat_ws(" ", F.element_at(x, -2)["text"], F.element_at(x, -1)["text"]).alias("text"), F.element_at(x, -2)["overlap"].alias("overlap"))
+    joined = lambda x: F.when(short(x), F.concat(F.slice(x, 1, F.size(x) - 2), F.array(tail(x)))).otherwise(x)
+    return F.get(F.transform(F.array(w), joined), F.lit(0))
 
 
 def pack_texts(df: DataFrame, id_col: str, text_col: str = "text", target: int = 400, share: float = 0.15, min_tokens: int = 80) -> DataFrame:
@@ -77,7 +71,7 @@ def semantic_windows(sentences: DataFrame, target: int, key: list[str]) -> DataF
     ``sentences`` has the key, ``pos, sentence, embedding`` (unit length). Output: key, ``window_no, text``.
     """
     w = Window.partitionBy(*key).orderBy("pos")
-    s = sentences.withColumn("sim", V.dot(F.lag("embedding").over(w), F.col("embedding")))
+    s = sentences.withColumn("sim", F.round(V.dot(F.lag("embedding").over(w), F.col("embedding")), 6))  # equal in theory, equal here
     low = s.groupBy(*key).agg(F.percentile("sim", F.lit(0.25)).alias("low"))
     s = s.join(low, key).withColumn("cut", F.coalesce((F.col("sim") < F.col("low")).cast("int"), F.lit(0)))
     s = s.withColumn("part", F.sum("cut").over(w)).withColumn("t", X.count_tokens(F.col("sentence")))

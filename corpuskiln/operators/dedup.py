@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..session import broadcast_if_small, settle, ship
+from ..session import broadcast_if_small, discard, settle, ship
 
 
 def text_key(text: Column) -> Column:
@@ -78,22 +78,22 @@ def _links(sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(same / (F.size("wa") + F.size("wb") - same) >= threshold).select(F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"))
 
 
-def keep_greedy(links: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def keep_greedy(links: DataFrame) -> DataFrame:
     """``b`` of the rows that a greedy pass in order drops: a row goes if a kept earlier one is linked with it.
 
     Rounds settle it without a pass over all rows: a row with no undecided earlier neighbour is kept, its later neighbours go.
     """
     open_ = settle(links.select("a", "b").distinct(), "greedy")
     dropped = None
-    for _ in range(max_rounds):
+    while True:
         kept = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         gone = settle(open_.join(kept, "a", "left_semi").select("b").distinct(), "greedy-gone")
         dropped = gone if dropped is None else dropped.union(gone)
         rest = open_.join(kept, "a", "left_anti").join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti")
-        open_ = settle(rest.select("a", "b"), "greedy")
-        if open_.isEmpty():
+        last, open_ = open_, settle(rest.select("a", "b"), "greedy")
+        discard(last)
+        if open_.isEmpty():  # every round settles the first undecided row at least
             return dropped
-    raise RuntimeError("the greedy pass did not end")
 
 
 def near_dedup(chunks: DataFrame, threshold: float = 0.9, order: list[str] | None = None) -> DataFrame:

@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions import vectors as V
-from ..session import broadcast_if_small, settle, ship
+from ..session import ship
 
 #: Queries of a block; a block is what one pass over the vectors carries.
 BLOCK = 2048
@@ -22,7 +22,7 @@ def ranked(scored: DataFrame, k: int, score: str, descending: bool, id_col: str
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(order, id_col))).where(F.col("rank") <= k)
 
 
-def _partial(ids: list, matrix: np.ndarray, k: int):
+def _partial(ids: list, matrix: np.ndarray, k: int, types: tuple[pa.DataType, pa.DataType]):
     unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +52,7 @@ def _partial(ids: list, matrix: np.ndarray, k: int):
         if best:
             d, n = best[0]
             q = np.repeat(np.array(ids, dtype=object), d.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(q.tolist()), pa.array(n.ravel().tolist()), pa.array(d.ravel())], names=["query_id", "chunk_id", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array(q.tolist(), types[0]), pa.array(n.ravel().tolist(), types[1]), pa.array(d.ravel())], names=["query_id", "chunk_id", "distance"])
 
     return run
 
@@ -65,12 +65,13 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ch
     """
     ship(vectors.sparkSession)
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema[id_col].dataType.simpleString()}, distance double"
+    types = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(vectors.schema[id_col].dataType)
     rows = vectors.select(F.col(id_col).alias("chunk_id"), F.col(vec_col).alias("v"))
     out, ids, held = None, [], []
 
     def flush():
         nonlocal out, ids, held
-        part = rows.mapInArrow(_partial(ids, np.array(held, dtype=np.float64), k), kinds)
+        part = rows.mapInArrow(_partial(ids, np.array(held, dtype=np.float64), k, types), kinds)
         out = part if out is None else out.union(part)
         ids, held = [], []
 
@@ -86,12 +87,71 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ch
     return ranked(out, k, "distance", False)
 
 
-def sparse_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The same over hashing vectors as rows ``chunk_id, bucket, weight`` and ``query_id, bucket, weight`` of unit length:
-    an equi-join on the bucket; only rows that share a bucket with a query are touched."""
-    q = broadcast_if_small(settle(queries.select("query_id", "bucket", F.col("weight").alias("qw")), "query-vectors"), 60)
-    scored = vectors.join(q, "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("s"))
-    return ranked(scored.select("query_id", "chunk_id", F.round(1 - F.col("s"), 9).alias("distance")), k, "distance", False)
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Lists of (bucket, weight) as rows of a matrix."""
+    flat = lists.flatten()
+    m = np.zeros((len(lists), width))
+    m[np.repeat(np.arange(len(lists)), np.array(lists.value_lengths())), np.array(flat.field("bucket"))] = np.array(flat.field("weight"))
+    return m
+
+
+def _keep(best: tuple | None, d: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The columns that are among the k smallest of any row so far; ties at the border stay, the last ranking decides."""
+    if best is not None:
+        d, names = np.concatenate([best[0], d], axis=1), np.concatenate([best[1], names])
+    if d.shape[1] <= 2 * k:
+        return d, names
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    own = (d <= edge).any(axis=0)
+    return d[:, own], names[own]
+
+
+def _nearest(ids: list, unit: np.ndarray, k: int, types: tuple[pa.DataType, pa.DataType]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                d = np.round(1 - unit @ _matrix(part.column(1), unit.shape[1]).T, 9)
+                best = _keep(best, d, np.array(part.column(0).to_pylist(), dtype=object), k)
+        if best is not None:
+            d, names = best
+            edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(d), 1), np.inf)
+            q, c = np.nonzero((d <= edge) & (d < 1))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], types[0]), pa.array(names[c].tolist(), types[1]), pa.array(d[q, c])], names=["query_id", "chunk_id", "distance"])
+
+    return run
+
+
+def sparse_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int = 1024, block: int = BLOCK) -> DataFrame:
+    """The same over hashed vectors ``chunk_id, vector`` and ``query_id, vector`` (lists of bucket and weight, of unit length): a block of
+    queries is a matrix that a task multiplies with its rows, and a task sends k rows a query and ties. Rows that share no bucket with a
+    query are no candidates. Each block of queries is one pass over the vectors."""
+    ship(vectors.sparkSession)
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, distance double"
+    types = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(vectors.schema["chunk_id"].dataType)
+    rows, out, ids, held = vectors.select("chunk_id", "vector"), None, [], []
+
+    def flush():
+        nonlocal out, ids, held
+        unit = np.zeros((len(ids), dim))
+        for i, v in enumerate(held):
+            for b, w in v:
+                unit[i, b] = w
+        part = rows.mapInArrow(_nearest(ids, unit, k, types), kinds)
+        out = part if out is None else out.union(part)
+        ids, held = [], []
+
+    for r in queries.where(F.size("vector") > 0).select("query_id", "vector").toLocalIterator():
+        ids.append(r[0])
+        held.append(r[1])
+        if len(ids) == block:
+            flush()
+    if ids:
+        flush()
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], f"{kinds}, rank int")
+    return ranked(out, k, "distance", False)
 
 
 def after_filter(topk: DataFrame, chunks: DataFrame, source_type: str | None = None, source_id: str | None = None) -> DataFrame:
@@ -101,7 +161,3 @@ def after_filter(topk: DataFrame, chunks: DataFrame, source_type: str | None = N
         if want is not None:
             own = own.where(F.col(name) == want)
     return topk.join(own.select("chunk_id"), "chunk_id", "left_semi")
-
-
-def cosine(a, b):
-    return 1 - V.cosine_distance(a, b)

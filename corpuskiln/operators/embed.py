@@ -2,28 +2,63 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import math
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import text as T
-from ..functions import vectors as V
+
+_SPARSE = T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("weight", T.DoubleType())]))
+
+
+def _hashed(dim: int):
+    """Text -> (bucket, weight) pairs in order of the bucket. A vector needs its own text only, so nothing is shuffled; the hashes of
+    words met before are kept by the task, up to a million."""
+
+    @F.pandas_udf(_SPARSE)
+    def vector(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        at: dict[str, int] = {}
+        find = re.compile("[a-z0-9]+").findall
+        for batch in texts:
+            if len(at) > 1_000_000:
+                at.clear()
+            out = []
+            for t in batch:
+                if t is None:
+                    out.append(None)
+                    continue
+                n: dict[int, int] = {}
+                for w in find(t.lower()):
+                    b = at.get(w)
+                    if b is None:
+                        b = at[w] = int(hashlib.md5(w.encode()).hexdigest(), 16) % dim
+                    n[b] = n.get(b, 0) + 1
+                raw = {b: 1 + math.log(k) for b, k in sorted(n.items())}
+                length = math.sqrt(math.fsum(x * x for x in raw.values()))
+                out.append([(b, x / length) for b, x in raw.items()])
+            yield pd.Series(out, dtype=object)
+
+    return vector
+
+
+def hashed(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", dim: int = 1024) -> DataFrame:
+    """``id, vector`` with the buckets and weights of every text that has a word, one row a text."""
+    return df.select(F.col(id_col), _hashed(dim)(F.col(text_col)).alias("vector")).where(F.size("vector") > 0)
 
 
 def sparse(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", dim: int = 1024) -> DataFrame:
-    """``id, bucket, weight`` of every text that has a word; counts are combined before the shuffle by (id, bucket)."""
-    words = df.select(F.col(id_col), F.explode(T.words(F.col(text_col))).alias("w"))
-    counts = words.groupBy(id_col, V.bucket(F.col("w"), dim).alias("bucket")).agg(F.count("*").alias("n"))
-    raw = counts.withColumn("raw", 1 + F.log(F.col("n").cast("double")))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, "bucket", (F.col("raw") / length).alias("weight"))
+    """``id, bucket, weight``: the same with a row for each bucket."""
+    return hashed(df, id_col, text_col, dim).select(id_col, F.explode("vector").alias("v")).select(id_col, "v.bucket", "v.weight")
 
 
-def dense(sparse_rows: DataFrame, id_col: str = "chunk_id", dim: int = 1024) -> DataFrame:
-    """Sparse rows as ``id, embedding`` arrays of ``dim`` floats."""
-    m = sparse_rows.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
+def dense(vectors: DataFrame, id_col: str = "chunk_id", dim: int = 1024) -> DataFrame:
+    """Hashed vectors as ``id, embedding`` arrays of ``dim`` floats."""
+    m = vectors.select(id_col, F.map_from_entries("vector").alias("m"))
     at = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)).cast("float"))
     return m.select(id_col, at.alias("embedding"))
 
@@ -38,7 +73,7 @@ class Embedder:
 
     def transform(self, df: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
         if self.encode is None:
-            return dense(sparse(df, id_col, text_col, self.dim), id_col, self.dim)
+            return dense(hashed(df, id_col, text_col, self.dim), id_col, self.dim)
         encode = self.encode
 
         @F.pandas_udf("array<float>")

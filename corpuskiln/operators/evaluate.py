@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,3 +67,29 @@ def diff(base: DataFrame, new: DataFrame) -> DataFrame:
     """``dimension, segment`` and the change of each metric over segments that both reports have."""
     b = base.select("dimension", "segment", *[F.col(m).alias(f"b_{m}") for m in METRICS])
     return new.join(b, ["dimension", "segment"]).select("dimension", "segment", *[F.round(F.col(m) - F.col(f"b_{m}"), 4).alias(m) for m in METRICS])
+
+
+def write_report(rows: DataFrame, path: str, meta: dict | None = None) -> None:
+    """The report as one JSON file of the four dimensions and ``_meta``: a row for each segment, few by nature."""
+    own = F.map_from_entries(F.collect_list(F.struct("segment", F.struct("n", *METRICS, "mean_candidates", "dense_leg_hits", "lexical_leg_hits", "found_any").alias("m"))))
+    per = rows.groupBy("dimension").agg(own.alias("segments"))
+    out = per.agg(F.map_from_entries(F.collect_list(F.struct("dimension", "segments"))).alias("report"), F.lit(json.dumps(meta or {}, sort_keys=True)).alias("_meta"))
+    out.coalesce(1).write.mode("overwrite").json(path)
+
+
+def judged(rows: DataFrame, judge: Callable[[str, str, list[str]], dict[str, float]], metrics: list[str]) -> DataFrame:
+    """Scores of a model's judgement of (question, answer, contexts) added to ``question, answer, contexts``, a double for each metric; a failure gives nulls."""
+    kind = "struct<" + ",".join(f"`{m}`:double" for m in metrics) + ">"
+
+    @F.pandas_udf(kind)
+    def run(question: pd.Series, answer: pd.Series, contexts: pd.Series) -> pd.DataFrame:
+        def one(q, a, c):
+            try:
+                got = judge(q, a, list(c) if c is not None else [])
+            except Exception:  # noqa: BLE001
+                got = {}
+            return [got.get(m) for m in metrics]
+
+        return pd.DataFrame([one(*x) for x in zip(question, answer, contexts)], columns=metrics, dtype="float64")
+
+    return rows.withColumn("__j", run("question", "answer", "contexts")).select(*rows.columns, *[F.col(f"__j.{m}").alias(m) for m in metrics])

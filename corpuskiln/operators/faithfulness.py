@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+# What marks an extract, and what is said where nothing was found; other parts of a system look for them.
 EXTRACTIVE, NO_CONTEXT = "[extractive]", "No relevant context found."
+REFUSAL = "The passages found do not bear out this answer."
 
 
 def check(answers: DataFrame, hits: DataFrame, min_overlap: float = 0.4, min_words: int = 6) -> DataFrame:
@@ -36,17 +38,34 @@ def check(answers: DataFrame, hits: DataFrame, min_overlap: float = 0.4, min_wor
 
 def refusal(unsupported, sources):
     """Text in place of an answer that is not borne out."""
-    return F.concat_ws("\n", F.lit("The passages found do not bear out this answer."), F.concat(F.lit("Not supported: "), F.array_join(unsupported, " | ")), F.concat(F.lit("Looked at: "), F.array_join(sources, ", ")))
+    return F.concat_ws("\n", F.lit(REFUSAL), F.concat(F.lit("Not supported: "), F.array_join(unsupported, " | ")), F.concat(F.lit("Looked at: "), F.array_join(sources, ", ")))
 
 
-def gated_answer(search: Callable[[int | None], list], generate: Callable[[list], str], judge: Callable[[str, list], bool], k: int, retries: int = 1) -> tuple[str | None, int]:
-    """Ask again with k * (attempt + 1) passages while the answer does not hold; None after the last attempt. Returns (answer, attempts)."""
-    for attempt in range(retries + 1):
-        hits = search(None if attempt == 0 else k * (attempt + 1))
+def gated_answer(search: Callable[[int | None], list], generate: Callable[[list], str], judge: Callable[[str, list], bool], k: int, retries: int = 1, refuse: Callable[[str, list], str] | None = None) -> tuple[str, list]:
+    """``(answer, hits)``: an answer that holds, or what is said in its place.
+
+    Without hits nothing is generated. While an answer does not hold, it is asked again with k * (attempt + 1) passages; a wider search
+    without hits ends that. Extractive answers pass. An answer that holds at no attempt is replaced by the refusal's text.
+    """
+    hits = search(None)
+    if not hits:
+        return NO_CONTEXT, hits
+    answer = generate(hits)
+    for attempt in range(1, retries + 2):
+        if passes(answer) or judge(answer, hits):
+            return answer, hits
+        wider = search(k * (attempt + 1)) if attempt <= retries else None
+        if not wider:
+            break
+        hits = wider
         answer = generate(hits)
-        if judge(answer, hits):
-            return answer, attempt + 1
-    return None, retries + 1
+    return (refuse(answer, hits) if refuse else REFUSAL), hits
+
+
+def passes(answer: str | None) -> bool:
+    """Answers that are not checked: extracts, and that nothing was found."""
+    a = (answer or "").strip()
+    return a.startswith(EXTRACTIVE) or a == NO_CONTEXT
 
 
 def prompt(hits: DataFrame, queries: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ def distinctive_terms(chunks: DataFrame, df: DataFrame, n_docs: int, terms: Data
     s = tf.join(band, "term").join(heads, ["chunk_id", "term"], "left")
     domain = F.lit(False)
     if terms is not None:
-        s = s.join(F.broadcast(terms.select("term", F.lit(True).alias("domain"))), "term", "left")
+        s = s.join(broadcast_if_small(terms.select("term", F.lit(True).alias("domain")), 60), "term", "left")
         domain = F.coalesce("domain", F.lit(False))
     s = s.withColumn("is_domain", domain).where((F.col("tf") >= 2) | F.coalesce("head", F.lit(False)) | F.col("is_domain")).withColumn("score", F.round(F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df")), 6))
     w = Window.partitionBy("chunk_id", "is_domain").orderBy(F.desc("score"), "term")
@@ -43,17 +46,108 @@ def distinctive_terms(chunks: DataFrame, df: DataFrame, n_docs: int, terms: Data
     return best.where(F.col("pos") <= max_terms).select("chunk_id", "pos", "term", "score")
 
 
-def sample(chunks: DataFrame, stratum: str, n: int, min_chars: int = 400) -> DataFrame:
-    """n chunks that can bear a question of the stratum, in the order of a hash of their id: the same on every run."""
+def strata_of(text: Column, kind: Column) -> Column:
+    """The strata a chunk can bear a question of."""
+    prose = kind == "text"
+    mark = lambda name, ok: F.when(ok, F.lit(name))
+    own = [mark("numeric", kind == "table"), mark("procedural", prose & text.rlike(PROCEDURAL)), mark("negation", prose & text.rlike(NEGATION)), *(mark(s, prose) for s in STRATA if s not in ("numeric", "procedural", "negation"))]
+    return F.array_compact(F.array(*own))
+
+
+def samples(chunks: DataFrame, n: int, strata: list[str] | None = None, min_chars: int = 400) -> DataFrame:
+    """``stratum, chunk_id, text, section, source_id, kind``: n chunks for each stratum in the order of a hash of their id, all from one scan; the same on every run."""
     c = chunks.where(~F.coalesce("is_parent", F.lit(False)) & (F.length("text") > min_chars)).withColumn("kind", block_type(F.col("extra")))
-    if stratum == "numeric":
-        c = c.where("kind = 'table'")
+    c = c.select(F.explode(strata_of(F.col("text"), F.col("kind"))).alias("stratum"), "chunk_id", "text", "section", "source_id", "kind")
+    if strata is not None:
+        c = c.where(F.col("stratum").isin(strata))
+    salt = F.when(F.col("stratum").isin("numeric", "procedural", "negation"), "").otherwise(F.col("stratum"))
+    order = Window.partitionBy("stratum").orderBy(F.md5(F.concat("chunk_id", salt)), "chunk_id")
+    # only ids are ranked; the limit is pushed below the shuffle
+    best = c.select("stratum", "chunk_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).select("stratum", "chunk_id")
+    return c.join(broadcast_if_small(settle(best, "strata"), 100), ["stratum", "chunk_id"])
+
+
+def sample(chunks: DataFrame, stratum: str, n: int, min_chars: int = 400) -> DataFrame:
+    """The same for one stratum."""
+    return samples(chunks, n, [stratum], min_chars).drop("stratum")
+
+
+# The questions of the offline generator.
+TEMPLATES = {
+    "lookup": "What do the texts say about {terms}?",
+    "synthesis": "How do different sources treat {terms}?",
+    "numeric": "Which values are tabulated for {terms}?",
+    "procedural": "What is the sequence of steps for {terms}?",
+    "negation": "When does {terms} not apply?",
+    "conflict": "Where do the sources disagree about {terms}?",
+    "transliteration": "What is the significance of {terms}?",
+}
+
+
+def offline_questions(candidates: DataFrame, kids: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """A generator without a model: ``stratum, chunk_id, question, answer`` from each candidate's distinctive terms, two at least; in the
+    stratum of spellings from their respelled forms, if any term has another."""
+    df, n = doc_freq(kids), kids.count()
+    terms = distinctive_terms(candidates.select("chunk_id", "text", "section").dropDuplicates(["chunk_id"]), df, n, lexicon)
+    if lexicon is not None:
+        from .rewrite import respelled
+
+        alt = respelled(terms.select("term").distinct().withColumn("query_id", F.col("term")), lexicon, "query_id", "term").select(F.col("query_id").alias("term"), F.col("text").alias("alt"))
+        terms = terms.join(alt, "term", "left")
     else:
-        c = c.where("kind = 'text'")
-        if stratum in ("procedural", "negation"):
-            c = c.where(F.col("text").rlike(PROCEDURAL if stratum == "procedural" else NEGATION))
-    salt = "" if stratum in ("numeric", "procedural", "negation") else stratum
-    return c.orderBy(F.md5(F.concat(F.col("chunk_id"), F.lit(salt))), "chunk_id").limit(n).select("chunk_id", "text", "section", "source_id", "kind")
+        terms = terms.withColumn("alt", F.col("term"))
+    own = terms.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", F.coalesce("alt", "term").alias("alt")))).alias("t")).where(F.size("t") >= 2)
+    q = candidates.join(own, "chunk_id")
+    spelled = F.col("stratum") == "transliteration"
+    native, other = F.transform("t", lambda x: x["term"]), F.transform("t", lambda x: x["alt"])
+    q = q.where(~spelled | (native != other)).withColumn("phrase", F.array_join(F.array_distinct(F.when(spelled, other).otherwise(native)), ", "))
+    form = F.create_map(*[F.lit(x) for kv in TEMPLATES.items() for x in kv])
+    return q.select("stratum", "chunk_id", F.replace(form[F.col("stratum")], F.lit("{terms}"), F.col("phrase")).alias("question"), X.condense(F.col("text")).alias("answer"))
+
+
+#: Question generators by name: functions of (candidates, all children, lexicon) giving ``stratum, chunk_id, question, answer``.
+GENERATORS: dict[str, Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame]] = {"offline": offline_questions}
+
+
+def model_questions(ask: Callable[[str, str], tuple[str, str] | None]) -> Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame]:
+    """A generator from a function of (stratum, text) giving a question and an answer, or nothing; failures are left out."""
+
+    @F.pandas_udf("struct<question:string,answer:string>")
+    def run(strata: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        def one(s, t):
+            try:
+                return ask(s, t) or (None, None)
+            except Exception:  # noqa: BLE001
+                return None, None
+
+        return pd.DataFrame([one(s, t) for s, t in zip(strata, texts)], columns=["question", "answer"])
+
+    return lambda c, kids, lexicon=None: c.withColumn("qa", run("stratum", "text")).where("qa.question is not null").select("stratum", "chunk_id", "qa.question", "qa.answer")
+
+
+def build(chunks: DataFrame, n: int, generator: str | Callable = "offline", lexicon: DataFrame | None = None, oversample: int = 6, strata: list[str] | None = None) -> DataFrame:
+    """A labelled set: ``question_id, question, answer, stratum, relevant_chunk_ids, source_ids, block_type``, up to n rows a stratum.
+
+    ``oversample`` times as many candidates are drawn, as some bear no question or leak their text; questions of the strata about
+    several sources get the partner chunk of another source as well, and go without one. Questions sharing five words in a row with
+    their chunk are dropped. The id is a hash of stratum and chunk, so a second run gives the same set.
+    """
+    kids = chunks.where(~F.coalesce("is_parent", F.lit(False)))
+    cand = settle(samples(chunks, n * oversample, strata), "golden-candidates")
+    make = GENERATORS[generator] if isinstance(generator, str) else generator
+    qa = settle(make(cand, kids, lexicon), "golden-questions")
+    qa = qa.join(cand.select("stratum", "chunk_id", "source_id", "kind"), ["stratum", "chunk_id"])
+    # two-source questions: candidates of different sources in hash order stand side by side
+    several = F.col("stratum").isin("synthesis", "conflict")
+    near = Window.partitionBy("stratum").orderBy(F.md5("chunk_id"), "chunk_id")
+    two = qa.where(several).withColumn("other", F.lead("chunk_id").over(near)).withColumn("other_source", F.lead("source_id").over(near)).where("other is not null and not (other_source <=> source_id)")
+    one = qa.where(~several).withColumn("other", F.lit(None).cast("string")).withColumn("other_source", F.lit(None).cast("string"))
+    both = one.unionByName(two).withColumn("question_id", F.xxhash64("stratum", "chunk_id"))
+    rows = both.select("question_id", "question", "answer", "stratum", F.array_compact(F.array("chunk_id", "other")).alias("relevant_chunk_ids"), F.array_compact(F.array("source_id", "other_source")).alias("source_ids"), F.col("kind").alias("block_type"), F.md5("chunk_id").alias("__h"))
+    rows = settle(rows, "golden-rows")
+    leaking = leaks(rows.select(F.col("question_id").alias("query_id"), F.col("question").alias("text"), "relevant_chunk_ids"), chunks)
+    clean = rows.join(leaking.select(F.col("query_id").alias("question_id")), "question_id", "left_anti")
+    return clean.withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy("__h", "question_id"))).where(F.col("r") <= n).drop("r", "__h")
 
 
 def source_pairs(chunks: DataFrame, salt: str = "synthesis") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schema import CHUNK, VECTOR
+from ..session import remove
+
 
 def last_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key: a partial aggregation over the whole row."""
@@ -91,3 +94,40 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, points: dict[str, flo
 def keep_last(names: list[str], n: int = 7) -> list[str]:
     """Snapshots to remove: all but the last n by name."""
     return sorted(names)[:-n] if n else sorted(names)
+
+
+def by_ids(rows: DataFrame, ids: list[str], key: str = "chunk_id") -> DataFrame:
+    """Point lookup: the rows of these ids; the list is pushed down to the scan."""
+    return rows.where(F.col(key).isin(list(dict.fromkeys(ids)))) if ids else rows.limit(0)
+
+
+def create_tables(spark: SparkSession, database: str, location: str | None = None) -> None:
+    """The chunk and vector tables, if they are not there; running it again changes nothing."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`" + (f" LOCATION '{location}'" if location else ""))
+    for name, schema in (("chunks", CHUNK), ("vectors", VECTOR)):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({columns}) USING parquet")
+
+
+def counted(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The rows with their statistics taken while they are written: number, empty texts, parents, last creation. Read ``observation.get`` after the write."""
+    o = Observation(name)
+    return rows.observe(o, F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.length("text"), F.lit(0)) == 0).alias("n_empty"), F.count_if(F.coalesce("is_parent", F.lit(False))).alias("n_parents"), F.max("created_at").alias("last_created")), o
+
+
+def snapshot(tables: dict[str, DataFrame], root: str, name: str, keep: int = 7) -> list[str]:
+    """Write every table below ``root/name`` and remove all snapshots but the last ``keep``. A snapshot counts once its marker stands, which is
+    written last, so an aborted one is never the newest. The names left."""
+    spark = next(iter(tables.values())).sparkSession
+    base = root.rstrip("/")
+    for table, df in tables.items():
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/{name}/{table}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(base)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.create(hadoop.Path(f"{base}/{name}/_COMPLETE"), True).close()
+    done = [s.getPath().getName() for s in fs.listStatus(top) if s.isDirectory() and fs.exists(hadoop.Path(s.getPath(), "_COMPLETE"))]
+    gone = keep_last(done, keep)
+    for n in gone:
+        remove(spark, f"{base}/{n}")
+    return sorted(set(done) - set(gone))

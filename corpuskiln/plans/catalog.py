@@ -119,17 +119,20 @@ def token_percentiles(spark, d):
     return store.nearest_rank(t, ["source_type"], "t", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
 
 
-@query(
-    f"""WITH RECURSIVE {_sent('doc_id', 'text', 'documents')}, arr AS (SELECT id, list(sentence ORDER BY pos) AS s, list(greatest(1, length(sentence) // 4)::INTEGER ORDER BY pos) AS t FROM sents GROUP BY id),
+def _windows(id_: str, text: str, src: str, target: int, overlap: int, least: int) -> str:
+    """CTEs up to ``win``: id, no, text, ov; the recursion goes over running totals of the sentences' sizes."""
+    end = "greatest({0} + 1, len(list_filter(p.p, lambda x: x <= p.p[{0} + 1] + {1})) - 1)::BIGINT"
+    back = f"greatest(w.a + 1, coalesce(list_max(list_filter(range(w.a, w.z), lambda k: pp.p[w.z + 1] - pp.p[k + 1] >= {overlap})), w.a))"
+    return f"""{_sent(id_, text, src)}, arr AS (SELECT id, list(sentence ORDER BY pos) AS s, list(greatest(1, length(sentence) // 4)::INTEGER ORDER BY pos) AS t FROM sents GROUP BY id),
  pre AS (SELECT id, s, len(s) AS n, list_transform(range(0, len(t) + 1), lambda k: coalesce(list_sum(t[1:k]), 0)::INTEGER) AS p FROM arr),
- w AS (SELECT id, 0 AS no, 0 AS a, (SELECT 0) AS z FROM pre WHERE false UNION ALL SELECT id, 0, 0, greatest(1, len(list_filter(p, lambda x: x <= 400)) - 1) FROM pre
-   UNION ALL
-   SELECT q.id, q.no + 1, q.nx, greatest(q.nx + 1, len(list_filter(p.p, lambda x: x - p.p[q.nx + 1] <= 400)) - 1)
-   FROM (SELECT w.id, w.no, greatest(w.a + 1, coalesce(list_max(list_filter(range(w.a, w.z), lambda k: pp.p[w.z + 1] - pp.p[k + 1] >= 60)), w.a)) AS nx FROM w JOIN pre pp USING (id) WHERE w.z < pp.n) q JOIN pre p ON p.id = q.id),
- txt AS (SELECT w.id, no, array_to_string(s[a + 1:z], ' ') AS text, CASE WHEN no = 0 THEN 0 ELSE 60 END AS ov, count(*) OVER (PARTITION BY w.id) AS m FROM w JOIN pre ON pre.id = w.id),
- tail AS (SELECT id, text FROM txt WHERE m > 1 AND no = m - 1 AND greatest(1, length(text) // 4) < 80)
- SELECT txt.id AS doc_id, no AS window_no, md5(CASE WHEN tail.id IS NOT NULL AND no = m - 2 THEN txt.text || ' ' || tail.text ELSE txt.text END) AS text, ov AS overlap_tokens FROM txt LEFT JOIN tail ON tail.id = txt.id WHERE NOT (tail.id IS NOT NULL AND no = m - 1)""".replace("SELECT id, 0 AS no, 0 AS a, (SELECT 0) AS z FROM pre WHERE false UNION ALL SELECT id, 0, 0, greatest(1, len(list_filter(p, lambda x: x <= 400)) - 1) FROM pre", "SELECT id, 0 AS no, 0::BIGINT AS a, greatest(1, len(list_filter(p, lambda x: x <= 400)) - 1)::BIGINT AS z FROM pre")
-)
+ w AS (SELECT id, 0 AS no, 0::BIGINT AS a, {end.format('0', target)} AS z FROM pre p
+   UNION ALL SELECT q.id, q.no + 1, q.nx, {end.format('q.nx', target)} FROM (SELECT w.id, w.no, {back} AS nx FROM w JOIN pre pp USING (id) WHERE w.z < pp.n) q JOIN pre p ON p.id = q.id),
+ txt AS (SELECT w.id, no, array_to_string(s[a + 1:z], ' ') AS text, CASE WHEN no = 0 THEN 0 ELSE {overlap} END AS ov, count(*) OVER (PARTITION BY w.id) AS m FROM w JOIN pre ON pre.id = w.id),
+ tail AS (SELECT id, text FROM txt WHERE m > 1 AND no = m - 1 AND greatest(1, length(text) // 4) < {least}),
+ win AS (SELECT txt.id, no, CASE WHEN tail.id IS NOT NULL AND no = m - 2 THEN txt.text || ' ' || tail.text ELSE txt.text END AS text, ov FROM txt LEFT JOIN tail ON tail.id = txt.id WHERE NOT (tail.id IS NOT NULL AND no = m - 1))"""
+
+
+@query(f"WITH RECURSIVE {_windows('doc_id', 'text', 'documents', 400, 60, 80)} SELECT id AS doc_id, no AS window_no, md5(text) AS text, ov AS overlap_tokens FROM win")
 def pack_windows(spark, d):
     w = chunking.pack_texts(table(spark, d, "documents"), "doc_id")
     return w.select("doc_id", "window_no", F.md5("text").alias("text"), "overlap_tokens")
@@ -149,9 +152,19 @@ def page_texts(spark, d):
     return pages_html(spark, d).select("doc_id", F.md5(X.html_text(F.col("html"))).alias("text"))
 
 
-@query()
+_LINKS = ['<a href="{}">x</a>', '<A HREF = \'../up/./x.html?q=1#f\'>', '<a href="menu/a.html">', '<a href="b">', '<a href="#top">', '<a href="mailto:a@b.example">', '<a href="//cdn.example/l/../m">', '<a href="?page=2">', '<script>go("./k/c.php"); go("menu/a.html")</script>']
+_DIR = "regexp_replace(regexp_replace(base, '^([a-z]+://[^/]*)$', '\\1/'), '[^/]*$', '')"
+
+
+@query(
+    rf"""WITH u AS (SELECT doc_id, coalesce(url, 'https://local.example/x/y') AS base FROM documents), p AS (SELECT doc_id, base, regexp_extract(base, '^([a-z]+://[^/]*)', 1) AS o, {_DIR} AS dir FROM u),
+ l AS (SELECT doc_id, [base, (CASE WHEN dir = o || '/' THEN dir ELSE regexp_replace(dir, '[^/]+/$', '') END) || 'up/x.html?q=1#f', o || '/menu/a.html', dir || 'b', 'https://cdn.example/m', regexp_replace(base, '[?#].*$', '') || '?page=2', o || '/k/c.php'] AS links FROM p)
+ SELECT doc_id, generate_subscripts(links, 1) - 1 AS pos, unnest(links) AS link FROM l"""
+)
 def page_links(spark, d):
-    return pages_html(spark, d).select("doc_id", F.posexplode(U.links(F.col("html"), F.col("url"))).alias("pos", "link"))
+    base = F.coalesce("url", F.lit("https://local.example/x/y"))
+    html = F.replace(F.lit("".join(_LINKS)), F.lit("{}"), base)
+    return table(spark, d, "documents").select("doc_id", F.posexplode(U.links(html, base)).alias("pos", "link"))
 
 
 _P = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1))"
@@ -171,34 +184,60 @@ def url_normal(spark, d):
     return table(spark, d, "crawl_pages").select("url", U.normalize_url(F.col("url")).alias("normal")).distinct()
 
 
-@query()
+_NAME = r"regexp_extract(url_decode(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)), '([^/]*)$', 1)"
+
+
+@query(rf"SELECT DISTINCT url, substr(coalesce(nullif(trim(regexp_replace(CASE WHEN lower({_NAME}) LIKE '%.pdf' OR {_NAME} = '' THEN {_NAME} ELSE {_NAME} || '.pdf' END, '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'download.pdf'), 1, 120) AS filename FROM crawl_pages WHERE is_pdf OR ends_with({_P}, '.pdf') OR contains(lower(content_type), 'application/pdf')")
 def pdf_harvest(spark, d):
-    return crawl.pdf_links(table(spark, d, "crawl_pages").where("status = 200"))
+    return crawl.pdf_links(table(spark, d, "crawl_pages"))
 
 
-@query()
+_NORMAL = r"lower(regexp_extract(url, '^([a-z]+)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || CASE WHEN regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') END || regexp_extract(url, '(\?[^#]*)', 1)"
+_SKIPPED = rf"regexp_matches({_P}, '^({'|'.join(U.PATH_DENY)})(/|$)') OR regexp_matches({_P}, '\.({'|'.join(U.ASSETS)})$') OR len(list_intersect(list_transform(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: lower(string_split(x, '=')[1])), [{', '.join(f"'{k}'" for k in U.GENERATOR_KEYS)}])) > 0"
+
+
+@query(
+    rf"""WITH RECURSIVE n AS (SELECT DISTINCT domain, {_NORMAL} AS url FROM crawl_pages WHERE status = 200 AND NOT is_pdf AND domain IS NOT NULL), p AS (SELECT domain, url, row_number() OVER (PARTITION BY domain ORDER BY url) AS r, ({_SKIPPED}) AS skipped, ends_with({_P}, '.pdf') AS pdf FROM n),
+ t AS (SELECT domain, url AS seed, url, r, pdf, 0 AS depth FROM p WHERE r = 1 AND NOT skipped UNION ALL SELECT p.domain, t.seed, p.url, p.r, p.pdf, t.depth + 1 FROM t JOIN p ON p.domain = t.domain AND p.r > 1 AND (p.r + 8) // 10 = t.r AND NOT t.pdf WHERE NOT p.skipped)
+ SELECT seed, url, depth, CASE WHEN pdf THEN 'pdf' ELSE 'page' END AS kind FROM t"""
+)
 def crawl_reach(spark, d):
-    """Crawl over the known pages of the domains; each page links the next ten of its domain in order of URL."""
+    """Crawl over all known pages of the domains, without a budget that one reaches. A page links ten others of its domain, those after its own
+    tenfold place in the order of URLs, then its domain's first page and one page elsewhere."""
     from pyspark.sql import Window
 
-    ok = table(spark, d, "crawl_pages").where("status = 200 and not is_pdf").select("url", "domain").distinct()
-    w = Window.partitionBy("domain").orderBy("url")
-    p = ok.withColumn("links", F.filter(F.array(*[F.lead("url", k).over(w) for k in range(1, 11)]), lambda x: x.isNotNull())).withColumn("r", F.row_number().over(w))
-    seeds = p.where("r = 1").groupBy("domain").agg(F.min("url").alias("seed")).select("seed")
-    return crawl.crawl(seeds, crawl.from_table(settle(p.select("url", "links"), "pages")), max_pages=10_000_000, per_seed=20, max_depth=12).select("seed", "url", "depth")
+    url = U.normalize_url(F.col("url"))
+    ok = table(spark, d, "crawl_pages").where("status = 200 and not is_pdf and domain is not null").select("domain", url.alias("url")).distinct()
+    p = settle(ok.withColumn("r", F.row_number().over(Window.partitionBy("domain").orderBy("url"))), "pages")
+    kids = p.where("r > 1").groupBy("domain", F.expr("(r + 8) div 10").alias("r")).agg(F.array_sort(F.collect_list("url")).alias("kids"))
+    home = p.where("r = 1").select("domain", F.col("url").alias("seed"))
+    pages = p.join(kids, ["domain", "r"], "left").join(home, "domain").select("url", F.concat(F.coalesce("kids", F.array().cast("array<string>")), F.array("seed", F.lit("https://elsewhere.example/"))).alias("links"))
+    return crawl.crawl(home.select("seed"), crawl.from_table(settle(pages, "linked")), max_pages=1 << 40, per_seed=1 << 40)
 
 
 # ---- documents ----
 
 
-@query(
+_RUNNING = (
     rf"""WITH b AS (SELECT DISTINCT ON (block_id) * FROM blocks), p AS (SELECT source_id, page, block_pos, text FROM b WHERE page IS NOT NULL), l AS (SELECT source_id, page, block_pos, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM p),
  k AS (SELECT *, replace(lower(regexp_replace({STRIP.format('line')}, '[\s\p{{Z}}\x{{85}}]+', ' ', 'g')), 'ß', 'ss') AS k FROM l), s AS (SELECT source_id, k, count(DISTINCT page) AS n FROM k WHERE k <> '' AND length({STRIP.format('line')}) <= 80 GROUP BY 1, 2), t AS (SELECT source_id, count(DISTINCT page) AS m FROM p GROUP BY 1),
  r AS (SELECT s.source_id, k FROM s JOIN t USING (source_id) WHERE n >= 2 AND n >= 0.2 * m) SELECT source_id, page, block_pos, md5(string_agg(line, chr(10) ORDER BY i)) AS text FROM k WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.source_id = k.source_id AND r.k = k.k) GROUP BY 1, 2, 3"""
 )
-def running_lines(spark, d):
+
+
+def _without_running(spark, d, share):
     p = blocks(spark, d).where("page is not null").select("source_id", "page", F.col("block_pos").alias("pos"), "text")
-    return chunking.strip_running_lines(p, share=0.2).select("source_id", "page", F.col("pos").alias("block_pos"), F.md5("text").alias("text"))
+    return chunking.strip_running_lines(p, share=share).select("source_id", "page", F.col("pos").alias("block_pos"), F.md5("text").alias("text"))
+
+
+@query(_RUNNING)
+def running_lines(spark, d):
+    return _without_running(spark, d, 0.2)
+
+
+@query(_RUNNING.replace("0.2 * m", "0.5 * m"))
+def running_lines_half(spark, d):
+    return _without_running(spark, d, 0.5)
 
 
 @query("WITH b AS (SELECT DISTINCT ON (block_id) * FROM blocks) SELECT block_id, sum(is_heading::INTEGER) OVER w AS section_no, last_value(CASE WHEN is_heading THEN text END IGNORE NULLS) OVER w AS section FROM b WINDOW w AS (PARTITION BY source_id ORDER BY block_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
@@ -216,33 +255,70 @@ def _docs(spark, d):
     return store.last_wins(table(spark, d, "pdf_documents"), "source_id", ["ingested_at"]).select("source_id", "title", "lang", "backend", "page_count")
 
 
-@query()
+def _document_chunks_sql(parents: bool) -> str:
+    head = "CASE WHEN section IS NULL OR section = '' OR starts_with(ltrim({0}), section) THEN {0} ELSE section || chr(10) || chr(10) || {0} END"
+    parent = f"UNION ALL SELECT source_id, section_no, section, -1 AS rank, true AS is_parent, substr(body, 1, 8000) AS text, page_start AS page, greatest(1, length(body) // 4) AS token_count, 0 AS overlap_tokens FROM sec WHERE body <> ''" if parents else ""
+    return f"""WITH RECURSIVE b AS (SELECT DISTINCT ON (block_id) * FROM blocks), s0 AS (SELECT *, sum(is_heading::INTEGER) OVER w AS section_no, last_value(CASE WHEN is_heading THEN text END IGNORE NULLS) OVER w AS section FROM b WINDOW w AS (PARTITION BY source_id ORDER BY block_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ own AS (SELECT * FROM s0 WHERE NOT is_heading), sec0 AS (SELECT source_id, section_no, any_value(section) AS section, min(page) AS page_start, string_agg(text, chr(10) ORDER BY block_pos) FILTER (WHERE block_type = 'text') AS j, list({{'t': text, 'p': page}} ORDER BY block_pos) FILTER (WHERE block_type = 'text') AS prose FROM own GROUP BY 1, 2),
+ sec AS (SELECT *, source_id || chr(31) || section_no AS sid, {STRIP.format("coalesce(j, '')")} AS body FROM sec0), body AS (SELECT sid, body FROM sec WHERE body <> ''), {_windows('sid', 'body', 'body', 400, 60, 80)},
+ rows0 AS (SELECT source_id, section_no, section, win.no AS rank, false AS is_parent, {head.format('win.text')} AS text, coalesce(list_filter(prose, lambda x: contains(win.text, substr(x.t, 1, 80)))[1].p, page_start) AS page, NULL::BIGINT AS token_count, ov AS overlap_tokens FROM win JOIN sec ON sec.sid = win.id),
+ special AS (SELECT own.source_id, own.section_no, own.section, row_number() OVER (PARTITION BY own.source_id, own.section_no ORDER BY block_pos) - 1 + coalesce(n, 0) AS rank, false AS is_parent, {head.format('own.text').replace('section', 'own.section')} AS text, own.page, NULL::BIGINT AS token_count, 0 AS overlap_tokens FROM own LEFT JOIN (SELECT source_id, section_no, count(*) AS n FROM rows0 GROUP BY 1, 2) c USING (source_id, section_no) WHERE block_type <> 'text'),
+ every AS (SELECT * FROM rows0 UNION ALL SELECT * FROM special {parent}), numbered AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY section_no, rank) - 1 AS chunk_index FROM every)
+ SELECT substr(sha256(concat_ws(chr(31), 'pdf', source_id, chunk_index, CASE WHEN is_parent THEN 'parent' ELSE 'child' END)), 1, 16) AS chunk_id, source_id, chunk_index, section, page, md5(text) AS text, is_parent, coalesce(token_count, greatest(1, length(text) // 4)) AS token_count, overlap_tokens FROM numbered"""
+
+
+def _document_chunks(spark, d, strategy):
+    c = chunking.chunk_documents(blocks(spark, d), _docs(spark, d), strategy)
+    return c.select("chunk_id", "source_id", "chunk_index", "section", "page", F.md5("text").alias("text"), "is_parent", "token_count", "overlap_tokens")
+
+
+@query(_document_chunks_sql(False))
 def chunk_documents(spark, d):
-    return chunking.chunk_documents(blocks(spark, d), _docs(spark, d), "structure")
+    return _document_chunks(spark, d, "structure")
 
 
-@query()
+@query(_document_chunks_sql(True))
 def chunk_parent_child(spark, d):
-    return chunking.chunk_documents(blocks(spark, d), _docs(spark, d), "parent_child")
+    return _document_chunks(spark, d, "parent_child")
 
 
-@query()
+@query(
+    rf"""WITH b AS (SELECT DISTINCT ON (block_id) * FROM blocks), p AS (SELECT source_id, page, string_agg(CASE WHEN is_heading THEN '# ' || text ELSE text END, chr(10) ORDER BY block_pos) AS text FROM b WHERE page IS NOT NULL AND block_type = 'text' GROUP BY 1, 2),
+ l AS (SELECT source_id, page, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM p), h AS (SELECT *, length(regexp_extract({STRIP.format('line')}, '^(#{{1,6}})\s+.*$', 1)) AS level FROM l),
+ g AS (SELECT *, sum((level > 0)::INTEGER) OVER w AS part, last_value(CASE WHEN level > 0 THEN trim(regexp_replace(regexp_extract({STRIP.format('line')}, '^#{{1,6}}\s+(.*)$', 1), '[*_`#]+', '', 'g')) END IGNORE NULLS) OVER w AS heading FROM h WINDOW w AS (PARTITION BY source_id, page ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ o AS (SELECT source_id, page, part, 0 AS kind, heading AS text, heading, true AS is_heading FROM g WHERE level > 0 UNION ALL SELECT source_id, page, part, 1, {STRIP.format("string_agg(line, chr(10) ORDER BY i)")} AS text, any_value(heading), false FROM g WHERE level = 0 GROUP BY 1, 2, 3 HAVING {STRIP.format("string_agg(line, chr(10) ORDER BY i)")} <> '')
+ SELECT source_id, page, row_number() OVER (PARTITION BY source_id ORDER BY page, part, kind) - 1 AS block_pos, md5(text) AS text, heading, is_heading FROM o"""
+)
 def markdown_blocks(spark, d):
     """Blocks as markdown pages and back."""
     line = F.when(F.col("is_heading"), F.concat(F.lit("# "), F.col("text"))).otherwise(F.col("text"))
     p = blocks(spark, d).where("page is not null and block_type = 'text'").groupBy("source_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_pos", line.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
-    return chunking.markdown_blocks(p)
+    return chunking.markdown_blocks(p).select("source_id", "page", "block_pos", F.md5("text").alias("text"), "heading", "is_heading")
 
 
-@query()
+_PAGE_TEXT = rf"""h AS (SELECT doc_id, title, url, {HTML} AS x FROM documents), a AS (SELECT * REPLACE (regexp_replace(x, '(?is)<style.*?>.*?</style>', ' ', 'g') AS x) FROM h), b0 AS (SELECT * REPLACE (regexp_replace(x, '(?is)<!--.*?-->', ' ', 'g') AS x) FROM a),
+ c AS (SELECT * REPLACE (regexp_replace(regexp_replace(x, '(?is)</p>', chr(10) || chr(10), 'g'), '(?is)</h[1-6]>', chr(10) || chr(10), 'g') AS x) FROM b0), e AS (SELECT * REPLACE (replace(regexp_replace(x, '(?is)<[^>]+>', ' ', 'g'), '&amp;', '&') AS x) FROM c), f AS (SELECT * REPLACE (regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS x) FROM e),
+ pg AS (SELECT coalesce(url, 'https://local.example/') || '#' || doc_id AS url, nullif({STRIP.format("coalesce(title, ' ')")}, '') AS title, {STRIP.format('x')} AS text FROM f WHERE length({STRIP.format('x')}) >= 200)"""
+
+
+@query(f"WITH RECURSIVE {_PAGE_TEXT}, {_windows('url', 'text', 'pg', 550, 82, 80)} SELECT substr(sha256(concat_ws(chr(31), 'web', id, no, 'child')), 1, 16) AS chunk_id, md5(win.text) AS text, id AS source_id, no AS chunk_index, title, greatest(1, length(win.text) // 4) AS token_count, ov AS overlap_tokens FROM win JOIN pg ON pg.url = win.id")
 def chunk_pages(spark, d):
-    p = pages_html(spark, d).select("url", X.html_title(F.col("html")).alias("title"), X.html_text(F.col("html")).alias("text"))
-    return chunking.chunk_pages(p).select("chunk_id", "text", "source_id", "chunk_index", "title", "domain", "token_count", "overlap_tokens")
+    url = F.concat("url", F.lit("#"), "doc_id")
+    p = pages_html(spark, d).select(url.alias("url"), X.html_title(F.col("html")).alias("title"), X.html_text(F.col("html")).alias("text"))
+    return chunking.chunk_pages(p).select("chunk_id", F.md5("text").alias("text"), "source_id", "chunk_index", "title", "token_count", "overlap_tokens")
 
 
-@query()
+_SECTION_TEXT = f"b AS (SELECT DISTINCT ON (block_id) * FROM blocks), s0 AS (SELECT *, sum(is_heading::INTEGER) OVER (PARTITION BY source_id ORDER BY block_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_no FROM b), sec AS (SELECT source_id || chr(31) || section_no AS sid, {STRIP.format('string_agg(text, chr(10) ORDER BY block_pos)')} AS body FROM s0 WHERE NOT is_heading AND block_type = 'text' GROUP BY source_id, section_no)"
+
+
+@query(
+    rf"""WITH {_SECTION_TEXT}, {_sent('sid', 'body', 'sec')}, wd AS (SELECT id, pos, ('0x' || right(md5(w), 2))::INTEGER AS k FROM (SELECT id, pos, unnest(regexp_extract_all(lower(sentence), '[a-z0-9]+')) AS w FROM sents)), ct AS (SELECT id, pos, k, 1 + ln(count(*)) AS raw FROM wd GROUP BY 1, 2, 3), v AS (SELECT id, pos, k, (raw / sqrt(sum(raw * raw) OVER (PARTITION BY id, pos)))::FLOAT::DOUBLE AS x FROM ct),
+ sm AS (SELECT a.id, a.pos + 1 AS pos, sum(a.x * c.x) AS sim FROM v a JOIN v c ON c.id = a.id AND c.pos = a.pos + 1 AND c.k = a.k GROUP BY 1, 2), q AS (SELECT sents.id, sents.pos, sentence, greatest(1, length(sentence) // 4) AS t, CASE WHEN sents.pos > 0 THEN round(coalesce(sim, 0), 6) END AS sim FROM sents LEFT JOIN sm ON sm.id = sents.id AND sm.pos = sents.pos),
+ lw AS (SELECT id, quantile_cont(sim, 0.25) AS low FROM q GROUP BY 1), pt AS (SELECT q.*, sum(coalesce((sim < low)::INTEGER, 0)) OVER (PARTITION BY q.id ORDER BY pos) AS part FROM q JOIN lw ON lw.id = q.id), fl AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY id, part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 60 AS fill FROM pt),
+ nw AS (SELECT *, dense_rank() OVER (PARTITION BY id ORDER BY part, fill) - 1 AS window_no FROM fl) SELECT string_split(id, chr(31))[1] AS source_id, string_split(id, chr(31))[2]::BIGINT AS section_no, window_no, md5(string_agg(sentence, ' ' ORDER BY pos)) AS text FROM nw GROUP BY id, window_no"""
+)
 def semantic_windows(spark, d):
-    return chunking.semantic_sections(blocks(spark, d), embed.Embedder(dim=256), 60)
+    return chunking.semantic_sections(blocks(spark, d), embed.Embedder(dim=256), 60).withColumn("text", F.md5("text"))
 
 
 @query(r"WITH b AS (SELECT DISTINCT ON (block_id) * FROM blocks), t AS (SELECT block_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*\|') AND NOT regexp_matches(x, '^\s*\|[\s|:-]*$') AND regexp_replace(x, '[|\s]', '', 'g') <> '') AS r FROM b WHERE block_type = 'table') SELECT block_id, len(r)::INTEGER AS n_rows FROM t WHERE len(r) >= 2")
@@ -250,11 +326,19 @@ def filled_tables(spark, d):
     return blocks(spark, d).where("block_type = 'table'").select("block_id", F.size(X.table_rows(F.col("text"))).alias("n_rows")).where("n_rows >= 2")
 
 
-@query(rf"WITH b AS (SELECT DISTINCT ON (block_id) * FROM blocks) SELECT block_id FROM b WHERE block_type = 'figure' AND length({STRIP.format('text')}) >= 20 AND len(regexp_extract_all({STRIP.format('text')}, '\p{{L}}')) >= 0.35 * length({STRIP.format('text')})")
+_FIGURES = rf"WITH b AS (SELECT DISTINCT ON (block_id) * FROM blocks) SELECT block_id FROM b WHERE block_type = 'figure' AND length({STRIP.format('text')}) >= 20 AND len(regexp_extract_all({STRIP.format('text')}, '\p{{L}}')) >= 0.35 * length({STRIP.format('text')})"
+
+
+@query(_FIGURES)
 def kept_figures(spark, d):
     return blocks(spark, d).where("block_type = 'figure'").where(X.keep_figure_text(F.col("text"), 20)).select("block_id")
 
 
+@query(_FIGURES.replace(">= 20", ">= 40"))
+def kept_figures_default(spark, d):
+    return blocks(spark, d).where("block_type = 'figure'").where(X.keep_figure_text(F.col("text"))).select("block_id")
+
+
 @query(rf"SELECT source_id, CASE WHEN lower({STRIP.format('title')}) IN ('', '(anonymous)', 'untitled', 'unknown') THEN NULL ELSE {STRIP.format('title')} END AS title FROM (SELECT * FROM pdf_documents QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY ingested_at DESC) = 1)")
 def real_titles(spark, d):
     return _docs(spark, d).select("source_id", X.real_title(F.col("title")).alias("title"))
@@ -278,6 +362,17 @@ def dedup_near(spark, d):
     return dedup.near_dedup(stored(spark, d)).select("chunk_id")
 
 
+@query(
+    rf"""WITH {CH}, w AS (SELECT chunk_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))) AS w FROM kids), s AS (SELECT w, len(w) AS n, min(chunk_id) AS id FROM w WHERE len(w) > 0 GROUP BY 1),
+ t AS (SELECT id, n, unnest(w) AS x FROM s), df AS (SELECT x, count(*) AS k FROM t GROUP BY 1), r AS (SELECT id, n, x, row_number() OVER (PARTITION BY id ORDER BY k, x) AS p FROM t JOIN df USING (x)), pr AS (SELECT * FROM r WHERE p <= n - ceil(0.9 * n) + 1),
+ cand AS (SELECT DISTINCT a.id AS a, b.id AS b FROM pr a JOIN pr b ON a.x = b.x AND a.id < b.id AND a.n >= 0.9 * b.n AND b.n >= 0.9 * a.n)
+ SELECT cand.a, cand.b FROM cand JOIN s x ON x.id = cand.a JOIN s y ON y.id = cand.b WHERE len(list_intersect(x.w, y.w)) / (x.n + y.n - len(list_intersect(x.w, y.w))) >= 0.9"""
+)
+def dedup_near_links(spark, d):
+    """Links of near duplicates by bands against all pairs in SQL: shows the recall."""
+    return dedup.near_links(latest(spark, d).where("not is_parent")).select("a.chunk_id", F.col("b.chunk_id").alias("__b")).toDF("a", "b")
+
+
 # ---- retrieval ----
 
 EMB = """{name} AS (SELECT id, b, (1 + ln(n)) / sqrt(sum((1 + ln(n)) * (1 + ln(n))) OVER (PARTITION BY id)) AS weight FROM (SELECT id, b, count(*) AS n FROM (SELECT {id} AS id, ('0x' || right(md5(w), 3))::INTEGER & 1023 AS b FROM (SELECT {id}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS w FROM {src})) GROUP BY 1, 2))"""
@@ -294,14 +389,14 @@ def _search_sql(k: int) -> str:
     return f"{CH}, {QS}, {QV}, {CV}, {DENSE.format(k=k)}, {LEX.format(k=k)}, {FUSED}"
 
 
-@query(f"WITH {QS}, {QV} SELECT id AS query_id, b AS bucket, round(weight, 6) AS weight FROM qv")
+@query(f"WITH {CH}, {CV} SELECT id AS chunk_id, b AS bucket, round(weight, 6) AS weight FROM cv")
 def hash_embedding(spark, d):
-    return embed.sparse(questions(spark, d), "query_id").select("query_id", "bucket", F.round("weight", 6).alias("weight"))
+    return embed.sparse(latest(spark, d)).select("chunk_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {CH}, {QS}, {QV}, {CV}, {DENSE.format(k=10)} SELECT query_id, chunk_id, rank, round(distance, 6) AS distance FROM dense")
 def hash_cosine_topk(spark, d):
-    return dense.sparse_topk(embed.sparse(latest(spark, d)), embed.sparse(questions(spark, d), "query_id"), 10).select("query_id", "chunk_id", "rank", F.round("distance", 6).alias("distance"))
+    return dense.sparse_topk(embed.hashed(latest(spark, d)), embed.hashed(questions(spark, d), "query_id"), 10).select("query_id", "chunk_id", "rank", F.round("distance", 6).alias("distance"))
 
 
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
@@ -339,7 +434,7 @@ def bm25_topk(spark, d):
 
 def _search(spark, d, k, final):
     ch, q = stored(spark, d), questions(spark, d)
-    return search.search_chunks(ch, embed.sparse(ch), q, embed.sparse(q, "query_id"), k, k, final)
+    return search.search_chunks(ch, embed.hashed(ch), q, embed.hashed(q, "query_id"), k, k, final)
 
 
 @query(f"WITH {_search_sql(20)} SELECT query_id, chunk_id, text, section, source_id, page, url, parent_id, chunk_index, title, lang, round(rrf_score, 6) AS rrf_score, dense_rank, lexical_rank, final_rank FROM best JOIN ch USING (chunk_id) WHERE final_rank <= 6")
@@ -350,7 +445,7 @@ def search_chunks(spark, d):
 @query(f"WITH {_search_sql(20)} SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS rrf_score FROM (SELECT query_id, chunk_id, rank FROM dense UNION ALL SELECT query_id, chunk_id, rank FROM lex) GROUP BY 1, 2")
 def rrf_fuse(spark, d):
     ch, q = stored(spark, d), questions(spark, d)
-    a = dense.sparse_topk(embed.sparse(ch), embed.sparse(q, "query_id"), 20).select("query_id", "chunk_id", "rank")
+    a = dense.sparse_topk(embed.hashed(ch), embed.hashed(q, "query_id"), 20).select("query_id", "chunk_id", "rank")
     b = lexical.lexical_topk(ch.where("not is_parent"), q, 20).select("query_id", "chunk_id", "rank")
     return search.rrf(a.union(b)).withColumn("rrf_score", F.round("rrf_score", 6))
 
@@ -358,20 +453,71 @@ def rrf_fuse(spark, d):
 GROUPS = [["Sūrya", "Surya", "Sun"], ["Candra", "Chandra", "Moon"], ["Maṅgala", "Mangala", "Mars"], ["Śani", "Shani", "Saturn"], ["Śukra", "Shukra", "Venus"], ["Bṛhaspati", "Jupiter"], ["Vṛṣabha", "Taurus"], ["Siṁha", "Leo"], ["Tulā", "Libra"], ["Kumbha", "Aquarius"]]
 
 
-@query()
+_TERMS = list({v.lower(): [x for x in g if x.lower() != v.lower()] for g in GROUPS for v in g}.items())
+_LEXICON = "lexi AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', [{', '.join(repr(a) for a in alts)}])" for t, alts in _TERMS) + ") x(term, alts))"
+
+
+def _variants(questions: str) -> str:
+    """CTEs up to ``vars``: query_id, variant_no, text."""
+    return rf"""{_LEXICON}, tok AS (SELECT query_id, generate_subscripts(t, 1) AS i, unnest(t) AS tok FROM (SELECT query_id, regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}]+|[^\p{{L}}\p{{M}}\p{{N}}]+') AS t FROM {questions})), st AS (SELECT tok.*, s, alts[s + 1] AS alt FROM tok LEFT JOIN lexi ON term = lower(tok), (SELECT unnest([0, 1, 2]) AS s)),
+ made AS (SELECT query_id, s + 1 AS v, string_agg(coalesce(alt, tok), '' ORDER BY i) AS text FROM st GROUP BY query_id, s HAVING count(alt) > 0), ev AS (SELECT query_id, 0 AS v, text FROM {questions} UNION ALL SELECT * FROM made), fst AS (SELECT query_id, text, min(v) AS v FROM ev GROUP BY 1, 2), vars AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY v) - 1 AS variant_no, text FROM fst)"""
+
+
+_EVERY = QS.replace("WHERE question_id % 50 = 0", "")
+
+
+def all_questions(spark, d):
+    return gold(spark, d).select(F.col("question_id").alias("query_id"), F.col("question").alias("text"))
+
+
+@query(f"WITH {_EVERY}, {_variants('qs')} SELECT query_id, variant_no, text FROM vars")
 def lexicon_rewrite(spark, d):
-    return rewrite.rewrite(questions(spark, d), "lexicon", rewrite.lexicon(spark, GROUPS))
+    return rewrite.rewrite(all_questions(spark, d), "lexicon", rewrite.lexicon(spark, GROUPS))
 
 
-@query()
+@query(
+    rf"""WITH {CH}, {QS.replace('qs AS', 'q0 AS')}, {_variants('q0')}, qs AS (SELECT query_id || chr(31) || variant_no AS query_id, text FROM vars), {QV}, {CV}, {DENSE.format(k=20)}, {LEX.format(k=20)}, {FUSED},
+ ru AS (SELECT split_part(query_id, chr(31), 1)::BIGINT AS query_id, chunk_id, round(sum(1.0 / (60 + final_rank)), 9) AS s FROM best WHERE final_rank <= 40 GROUP BY 1, 2), po AS (SELECT * FROM ru QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) <= 40),
+ tm AS (SELECT query_id, chunk_id, ch.text, ch.parent_id, list_distinct(list_filter(regexp_extract_all(lower(q0.text), '[\p{{L}}\p{{N}}]+'), lambda w: w NOT IN ({STOP}))) AS qt, regexp_extract_all(lower(ch.text), '[\p{{L}}\p{{N}}]+') AS tt FROM po JOIN ch USING (chunk_id) JOIN q0 USING (query_id)),
+ rr AS (SELECT query_id, chunk_id, text, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY round(len(list_intersect(qt, tt)) / greatest(len(qt), 1), 6) DESC, chunk_id) AS rank FROM tm QUALIFY rank <= 6),
+ ex AS (SELECT rr.query_id, rr.chunk_id, coalesce(pa.text, rr.text) AS text, rr.rank, CASE WHEN pa.chunk_id IS NULL THEN rr.chunk_id ELSE rr.parent_id END AS fam FROM rr LEFT JOIN ch pa ON pa.chunk_id = rr.parent_id AND pa.is_parent), o AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY query_id, fam ORDER BY rank) = 1), c AS (SELECT *, sum(length(text)) OVER w AS c, row_number() OVER w AS n FROM o WINDOW w AS (PARTITION BY query_id ORDER BY rank))
+ SELECT query_id, chunk_id, md5(text) AS text, rank FROM c WHERE n = 1 OR c <= 12288"""
+)
 def retrieve_hits(spark, d):
     """Wordings by the lexicon, search of each, fusion, reranking, parent expansion."""
     ch, q = stored(spark, d), questions(spark, d)
     v = rewrite.rewrite(q, "lexicon", rewrite.lexicon(spark, GROUPS))
-    return search.retrieve(ch, embed.sparse(ch), q, v, 20, 20, reranking=True)
+    return search.retrieve(ch, embed.hashed(ch), q, v, 20, 20, reranking=True).withColumn("text", F.md5("text"))
+
 
+_BM25 = rf"""bq AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM qs) WHERE term <> ''), bw AS (SELECT chunk_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM {{src}}), bst AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM bw),
+ btf AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM bw) WHERE term IN (SELECT term FROM bq) GROUP BY 1, 2), bdf AS (SELECT term, count(*) AS df FROM btf GROUP BY 1),
+ bm AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM btf JOIN bdf USING (term) JOIN bq USING (term), bst GROUP BY 1, 2 QUALIFY rank <= 20)"""
 
-EXPAND_HITS = "h AS (SELECT source_id AS query_id, chunk_id, parent_id, text, row_number() OVER (PARTITION BY source_id ORDER BY chunk_index, chunk_id) AS rank FROM kids WHERE source_type = 'pdf' QUALIFY rank <= 8)"
+
+@query(f"WITH {CH}, {QS}, {QV}, {CV}, {DENSE.format(k=20)}, {_BM25.format(src='ch')}, r AS (SELECT query_id, chunk_id, rank FROM dense UNION ALL SELECT query_id, chunk_id, rank FROM bm), f AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS s FROM r GROUP BY 1, 2) SELECT query_id, chunk_id, round(s, 6) AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM f QUALIFY rank <= 5")
+def quick_retrieve(spark, d):
+    return search.quick_retrieve(stored(spark, d), questions(spark, d)).withColumn("rrf_score", F.round("rrf_score", 6))
+
+
+@query(f"WITH {CH}, {QS}, {_BM25.format(src='kids')}, h AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0 / (60 + rank), 9) DESC, chunk_id) AS rank FROM bm QUALIFY rank <= 6) SELECT query_id, chunk_id, md5(ch.text) AS text, h.rank FROM h JOIN ch USING (chunk_id)")
+def retrieve_files(spark, d):
+    """Retrieval over chunk files without vectors: BM25 alone."""
+    return search.retrieve_files(stored(spark, d), questions(spark, d), k_dense=20, k_lexical=20, expand=False).withColumn("text", F.md5("text"))
+
+
+_PK = "pk AS (SELECT * FROM kids WHERE source_type = 'web')"
+
+
+@query(f"WITH {CH}, {_PK}, qs AS (SELECT 1 AS query_id, 'Which rule does the moon follow in the ninth house?' AS text), {QV}, {CV.replace('FROM ch', 'FROM kids')}, {DENSE.format(k=60)}, {LEX.format(k=60).replace('FROM kids', 'FROM pk')}, {FUSED.replace('JOIN kids', 'JOIN pk')} SELECT chunk_id, source_id, round(rrf_score, 6) AS rrf_score, dense_rank, lexical_rank FROM best JOIN ch USING (chunk_id) WHERE final_rank <= 8")
+def search_function(spark, d):
+    """The SQL table function, asked a question about pages of the web."""
+    ch = stored(spark, d)
+    search.register_search_function(ch, settle(embed.sparse(ch.where("not is_parent")), "sparse"), "search")
+    return spark.sql("SELECT chunk_id, source_id, round(cast(rrf_score AS double), 6) AS rrf_score, dense_rank, lexical_rank FROM search_hits('Which rule does the moon follow in the ninth house?', 8, 'web')")
+
+
+EXPAND_HITS = "h AS (SELECT source_id AS query_id, chunk_id, parent_id, text, row_number() OVER (PARTITION BY source_id ORDER BY chunk_index, chunk_id) AS rank FROM kids)"
 
 
 @query(
@@ -381,7 +527,7 @@ def parent_expand(spark, d):
     from pyspark.sql import Window
 
     ch = latest(spark, d)
-    h = ch.where("not is_parent and source_type = 'pdf'").withColumn("rank", F.row_number().over(Window.partitionBy("source_id").orderBy("chunk_index", "chunk_id"))).where("rank <= 8").select(F.col("source_id").alias("query_id"), "chunk_id", "parent_id", "text", "rank")
+    h = ch.where("not is_parent").withColumn("rank", F.row_number().over(Window.partitionBy("source_id").orderBy("chunk_index", "chunk_id"))).select(F.col("source_id").alias("query_id"), "chunk_id", "parent_id", "text", "rank")
     return search.expand_parents(h, ch, 6000).withColumn("text", F.md5("text"))
 
 
@@ -445,7 +591,11 @@ def eval_report(spark, d):
     return evaluate.report(_metrics(spark, d))
 
 
-@query()
+_REPORT = f"SELECT CASE grouping(stratum, block_type, source_type) WHEN 7 THEN 'overall' WHEN 3 THEN 'stratum' WHEN 5 THEN 'block_type' ELSE 'source_type' END AS dimension, CASE grouping(stratum, block_type, source_type) WHEN 7 THEN '' WHEN 3 THEN stratum WHEN 5 THEN block_type ELSE source_type END AS segment, {', '.join(f'round(avg({m}), 4) AS {m}' for m in _M)} FROM pq GROUP BY GROUPING SETS ((), (stratum), (block_type), (source_type))"
+_EVAL5 = EVAL.replace("final_rank <= 40", "final_rank <= 10")
+
+
+@query(f"SELECT n.dimension, n.segment, {', '.join(f'round(n.{m} - b.{m}, 4) AS {m}' for m in _M)} FROM (WITH {_search_sql(20)}, {EVAL} {_REPORT}) n JOIN (WITH {_search_sql(5)}, {_EVAL5} {_REPORT}) b USING (dimension, segment)")
 def eval_diff(spark, d):
     return evaluate.diff(evaluate.report(_metrics(spark, d, 5)), evaluate.report(_metrics(spark, d)))
 
@@ -479,11 +629,7 @@ _STRATA = {"numeric": ("table", "", ""), "procedural": ("text", golden.PROCEDURA
     + " UNION ALL ".join(f"(SELECT '{s}' AS stratum, chunk_id, kind FROM c WHERE kind = '{k}'" + (f" AND regexp_matches(text, '{p}')" if p else "") + f" ORDER BY md5(chunk_id || '{salt}'), chunk_id LIMIT 25)" for s, (k, p, salt) in _STRATA.items())
 )
 def stratum_samples(spark, d):
-    c, out = latest(spark, d), None
-    for s in _STRATA:
-        one = golden.sample(c, s, 25).select(F.lit(s).alias("stratum"), "chunk_id", "kind")
-        out = one if out is None else out.union(one)
-    return out
+    return golden.samples(latest(spark, d), 25).select("stratum", "chunk_id", "kind")
 
 
 @query(f"WITH {CH}, f AS (SELECT source_id, min_by(chunk_id, md5(chunk_id || 'synthesis') || chunk_id) AS chunk_id FROM kids GROUP BY 1), r AS (SELECT chunk_id, row_number() OVER (ORDER BY md5(source_id || 'synthesis'), source_id) AS rn FROM f) SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b FROM r a JOIN r b ON b.rn = a.rn + 1 WHERE a.rn % 2 = 1")
@@ -503,15 +649,33 @@ def ngram_leaks(spark, d):
     return golden.leaks(q, latest(spark, d))
 
 
-@query()
+@query(f"WITH {_EVERY}, {_LEXICON}, w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}]+')) AS word FROM qs), a AS (SELECT word, alts, list_sort(list_transform(list_filter(alts, lambda x: regexp_matches(x, '^[\\x00-\\x7f]+$')), lambda x: {{'n': length(x), 'a': x}})) AS s FROM w JOIN lexi ON term = lower(word)) SELECT word, CASE WHEN len(s) > 0 THEN s[1].a ELSE alts[1] END AS alt FROM a")
 def lexicon_alternatives(spark, d):
-    words = questions(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]+)"), 1)).alias("word")).distinct()
+    words = all_questions(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]+)"), 1)).alias("word")).distinct()
     return rewrite.alternative(words, rewrite.lexicon(spark, GROUPS))
 
 
+@query()
+def respelled_questions(spark, d):
+    """Every question with its known words in another spelling."""
+    return rewrite.respelled(all_questions(spark, d), rewrite.lexicon(spark, GROUPS))
+
+
+@query()
+def golden_build(spark, d):
+    """A labelled set of up to ten questions a stratum, made without a model."""
+    return golden.build(stored(spark, d), 10, lexicon=rewrite.lexicon(spark, GROUPS)).select("question_id", "question", "stratum", "relevant_chunk_ids", "source_ids", "block_type")
+
+
 # ---- store ----
 
 
+@query(f"WITH {CH} SELECT chunk_id, md5(text) AS text FROM ch WHERE chunk_id IN (SELECT unnest(relevant_chunk_ids) FROM golden_rows WHERE question_id = (SELECT min(question_id) FROM golden_rows WHERE len(relevant_chunk_ids) > 0))")
+def chunks_by_ids(spark, d):
+    one = table(spark, d, "golden_rows").where(F.size("relevant_chunk_ids") > 0).orderBy("question_id").limit(1).collect()
+    return store.by_ids(latest(spark, d), one[0]["relevant_chunk_ids"] if one else []).select("chunk_id", F.md5("text").alias("text"))
+
+
 @query(f"WITH {CH}, {VEC} SELECT chunk_id FROM kids WHERE chunk_id NOT IN (SELECT chunk_id FROM vec)")
 def missing_vectors(spark, d):
     return store.missing_vectors(latest(spark, d), vectors(spark, d)).select("chunk_id")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import CHUNK, conform
+from ..session import broadcast_if_small, settle
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema=CHUNK, mode: str = "FAILFAST", recursive: bool = False) -> DataFrame:
@@ -18,6 +18,17 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema=CHUNK, mode:
     return r.json(paths)
 
 
+def read_sound(spark: SparkSession, paths: str | list[str], schema=CHUNK, warn=lambda p: None) -> DataFrame:
+    """JSON lines of all files below the paths but those with a bad line, which are left out whole and named to ``warn``."""
+    full = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
+    r = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+    df = settle(r.json(paths).withColumn("__file", F.col("_metadata.file_path")), "jsonl")
+    bad = settle(df.where("__bad is not null").select("__file").distinct(), "bad-files")
+    for row in bad.toLocalIterator():
+        warn(row[0])
+    return df.join(broadcast_if_small(bad, 300), "__file", "left_anti").select(*schema.fieldNames())
+
+
 def read_parquet(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Parquet chunks; older files without some columns are migrated, extra that is no JSON becomes {}."""
     df = spark.read.option("mergeSchema", "true").parquet(*([paths] if isinstance(paths, str) else paths))
@@ -52,15 +63,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def chunk_paths(roots: list[str], skip: tuple[str, ...] = ("train.jsonl", "val.jsonl")) -> list[str]:
-    """JSONL files under the roots, nested or flat, each once, in order."""
-    found: dict[str, str] = {}
+def chunk_paths(spark: SparkSession, roots: list[str], skip: tuple[str, ...] = ("train.jsonl", "val.jsonl")) -> list[str]:
+    """JSONL files under the roots of any file system, nested or flat, each once, in order; of written tables the folder."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    found: dict[str, None] = {}
     for root in roots:
-        for folder, _, names in sorted(os.walk(root)):
-            for n in sorted(names):
-                if n.endswith(".jsonl") and n not in skip:
-                    found.setdefault(os.path.realpath(os.path.join(folder, n)), os.path.join(folder, n))
-    return list(found.values())
+        top = hadoop.Path(root)
+        fs = top.getFileSystem(conf)
+        if not fs.exists(top):
+            continue
+        names, files = [], fs.listFiles(top, True)
+        while files.hasNext():
+            p = files.next().getPath()
+            inside = p.getParent().getName().endswith(".jsonl")
+            name = p.getParent() if inside and not p.getName().startswith(("_", ".")) else p
+            if name.getName().endswith(".jsonl") and name.getName() not in skip:
+                names.append(name.toString())
+        found |= dict.fromkeys(sorted(names))
+    return list(found)
 
 
 def rows_per_file(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -84,10 +104,10 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
 
 
 def write_kinds(chunks: DataFrame, path: str) -> None:
-    """One folder for each source and kind; a kind without rows has none."""
+    """One folder for each source (its relative id without the ending) and kind; a kind without rows has none."""
     from ..operators.dataset import kinds
 
-    kinds(chunks).withColumn("stem", stem(F.col("source_id"))).write.partitionBy("stem", "kind").json(path)
+    kinds(chunks).withColumn("stem", F.regexp_replace("source_id", r"\.[^./]*$", "")).write.partitionBy("stem", "kind").json(path)
 
 
 def stem(path):

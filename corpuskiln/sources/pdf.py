@@ -76,6 +76,9 @@ def pages(files: DataFrame, name: str = "pymupdf4llm", extract: Callable | None
     return files.select("source_id", "content").mapInPandas(run, "source_id string, page int, text string, error string")
 
 
+read_pages = pages
+
+
 def scanned_share(pages: DataFrame, least: int = 40) -> DataFrame:
     """``source_id, scanned_share, needs_ocr, page_count``: pages with fewer than ``least`` characters."""
     thin = (F.length(F.trim(F.coalesce("text", F.lit("")))) < least).cast("int")
@@ -91,3 +94,49 @@ def with_extras(blocks: DataFrame, extras: DataFrame, legacy_order: bool = False
 
     place = ["__late", "block_pos"] if legacy_order else ["page", "__late", "block_pos"]
     return both.withColumn("block_pos", F.row_number().over(Window.partitionBy("source_id").orderBy(*place)) - 1).drop("__late")
+
+
+def with_ocr(pages: DataFrame, files: DataFrame, ocr: Callable[[bytes], list[tuple[int | None, str]]] | None, least: int = 40) -> DataFrame:
+    """Pages (``source_id, page, text, error``) of documents that have thin pages, read anew by the OCR hook from their file; without a hook, or
+    where it fails, the pages stay as they are."""
+    if ocr is None:
+        return pages
+    need = scanned_share(pages, least).where("needs_ocr").select("source_id")
+    good = read_pages(files.join(need, "source_id", "left_semi"), extract=ocr).where("error is null")
+    return pages.join(good.select("source_id").distinct(), "source_id", "left_anti").unionByName(good)
+
+
+def extras(files: DataFrame, extract: Callable[[bytes], list[tuple[int | None, str, object]]]) -> DataFrame:
+    """Tables and figures of every file by a hook that gives (page, kind, content): a table's rows of cells, or a figure's text. As blocks
+    ``source_id, page, block_type, text``; tables become markdown. A file that fails has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for sid, data in zip(b["source_id"], b["content"]):
+                try:
+                    rows += [(sid, p, kind, x if kind != "table" else None, [[None if c is None else str(c) for c in r] for r in x] if kind == "table" else None) for p, kind, x in extract(bytes(data))]
+                except Exception:  # noqa: BLE001
+                    continue
+            yield pd.DataFrame({"source_id": [r[0] for r in rows], "page": pd.array([r[1] for r in rows], dtype="Int32"), "block_type": [r[2] for r in rows], "said": [r[3] for r in rows], "cells": [r[4] for r in rows]})
+
+    raw = files.select("source_id", "content").mapInPandas(run, "source_id string, page int, block_type string, said string, cells array<array<string>>")
+    return raw.select("source_id", "page", "block_type", F.when(F.col("block_type") == "table", X.markdown_table(F.col("cells"))).otherwise(F.col("said")).alias("text"))
+
+
+def with_language(docs: DataFrame, detect: Callable[[str], str | None] | None, text_col: str = "text") -> DataFrame:
+    """Documents with ``lang`` filled by a hook where it is null; a failure leaves it null."""
+    if detect is None:
+        return docs
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return detect(t) if t else None
+            except Exception:  # noqa: BLE001
+                return None
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return docs.withColumn("lang", F.coalesce("lang", run(F.when(F.col("lang").isNull(), F.col(text_col)))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +36,9 @@ def watch_chunks(spark: SparkSession, folder: str, step: Callable[[DataFrame, in
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
 
 
-def embed_missing(chunks: DataFrame, vectors: DataFrame, model: str = "hashing", dim: int = 1024) -> DataFrame:
+def embed_missing(chunks: DataFrame, vectors: DataFrame, model: str = "hashing", dim: int = 1024, encode: Callable[[list[str]], list] | None = None) -> DataFrame:
     """Vectors of the children that have none: ``chunk_id, embedding, model, created_at``."""
-    v = embed.Embedder(dim=dim).transform(store.missing_vectors(chunks, vectors))
+    v = embed.Embedder(model, dim, encode).transform(store.missing_vectors(chunks, vectors))
     return v.select("chunk_id", "embedding", F.lit(model).alias("model"), F.current_timestamp().alias("created_at"))
 
 
@@ -50,3 +51,20 @@ def snapshot_due(chunks: DataFrame, vectors: DataFrame, last: str | None) -> tup
 
 def snapshot_name(at) -> str:
     return at.strftime("%Y%m%d-%H%M%S")
+
+
+def every(seconds: float, step: Callable[[int], None], rounds: int | None = None, failures: list | None = None, stop: threading.Event | None = None) -> int:
+    """Run ``step`` (a crawl, a snapshot) again and again, ``seconds`` apart; a round that fails is logged and the next one comes. Ends after
+    ``rounds`` or when ``stop`` is set; the number of rounds run."""
+    n, end = 0, stop or threading.Event()
+    while not end.is_set() and (rounds is None or n < rounds):
+        try:
+            step(n)
+        except Exception as e:  # noqa: BLE001
+            log.exception("round %s failed", n)
+            if failures is not None:
+                failures.append((n, repr(e)))
+        n += 1
+        if rounds is None or n < rounds:
+            end.wait(seconds)
+    return n

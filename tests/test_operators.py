@@ -128,16 +128,6 @@ def test_rerank_with_a_model(spark):
     assert [r["chunk_id"] for r in search.rerank(h, 1, lambda pairs: [len(t) for _, t in pairs]).collect()] == ["b"]
 
 
-def test_search_function(spark):
-    h = spark.createDataFrame([("q", "a", 0.5, "pdf"), ("q", "b", 0.7, "web")], "question string, chunk_id string, rrf_score double, source_type string")
-    for c in schema.SEARCH_HIT:
-        if c not in h.columns:
-            h = h.withColumn(c, F.lit(None).cast("int" if c in ("page", "chunk_index", "dense_rank", "lexical_rank") else "string"))
-    search.register_search_function(h)
-    assert [r["chunk_id"] for r in spark.sql("SELECT chunk_id FROM search_hits('q', 1)").collect()] == ["b"]
-    assert [r["chunk_id"] for r in spark.sql("SELECT chunk_id FROM search_hits('q', want_type => 'pdf')").collect()] == ["a"]
-
-
 def test_rewrite(spark):
     lex = rewrite.lexicon(spark, [["Sūrya", "Surya", "Sun"], ["Candra", "Moon"]])
     q = spark.createDataFrame([(1, "Surya and Moon"), (2, "nothing known")], "query_id int, text string")
@@ -157,8 +147,12 @@ def test_gate(spark):
 
 def test_gated_answer_widens():
     calls = []
-    answer, tries = faithfulness.gated_answer(lambda k: calls.append(k) or [], lambda h: "x", lambda a, h: False, 2)
-    assert calls == [None, 4] and answer is None and tries == 2
+    answer, hits = faithfulness.gated_answer(lambda k: calls.append(k) or ["h"], lambda h: "x", lambda a, h: False, 2)
+    assert calls == [None, 4] and answer == faithfulness.REFUSAL and hits == ["h"]
+    assert faithfulness.gated_answer(lambda k: [], lambda h: 1 / 0, lambda a, h: True, 2) == (faithfulness.NO_CONTEXT, [])
+    assert faithfulness.gated_answer(lambda k: ["h"], lambda h: "[extractive] y", lambda a, h: 1 / 0, 2)[0] == "[extractive] y"
+    # a wider search without hits ends the loop; the refusal is told what the narrow one found
+    assert faithfulness.gated_answer(lambda k: ["h"] if k is None else [], lambda h: "x", lambda a, h: False, 2, refuse=lambda a, h: f"{a}{h}") == ("x['h']", ["h"])
 
 
 def test_metrics(spark):
@@ -263,7 +257,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for n in ("train.jsonl", "c.jsonl"):
         (tmp_path / "in" / n).write_text("{}\n")
-    assert [x.rsplit("/", 1)[1] for x in files.chunk_paths([str(tmp_path / "in"), str(tmp_path / "in")])] == ["c.jsonl"]
+    assert [x.rsplit("/", 1)[1] for x in files.chunk_paths(spark, [str(tmp_path / "in"), str(tmp_path / "in"), str(tmp_path / "none")])] == ["c.jsonl"]
 
 
 def test_pdf_hook(spark, tmp_path):
@@ -289,8 +283,13 @@ def test_crawl(spark):
     site = [("https://ex.com/", ["https://ex.com/lesson", "https://ex.com/login", "https://off.org/", "https://ex.com/a.css"]), ("https://ex.com/lesson", ["https://ex.com/", "https://ex.com/private/x"]), ("https://ex.com/private/x", [])]
     pages = spark.createDataFrame(site, "url string, links array<string>")
     seeds = spark.createDataFrame([("https://ex.com",)], "seed string")
-    rules = spark.createDataFrame([("https://ex.com/", "/private", False)], "origin string, prefix string, allow boolean")
+    robots = spark.createDataFrame([("https://ex.com", "# none\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /private/open\nDisallow: /private # closed\n")], "origin string, body string")
+    rules = crawl.robots_rules(robots, "bot/1.0")
     assert rows(crawl.crawl(seeds, crawl.from_table(pages), robots=rules), "url", "depth") == [("https://ex.com/", 0), ("https://ex.com/lesson", 1)]
+    assert crawl.crawl(seeds, crawl.from_table(pages), robots=crawl.robots_rules(robots, "Other/2")).count() == 0
+    links = spark.createDataFrame([("https://ex.com/private/open/a",), ("https://ex.com/private",), ("https://no.example/private",)], "url string")
+    assert rows(crawl.robots_allowed(links, rules), "url") == [("https://ex.com/private/open/a",), ("https://no.example/private",)]
+    assert crawl.crawl(spark.createDataFrame([("https://ex.com/login",)], "seed string"), crawl.from_table(pages)).count() == 0
     dead = spark.createDataFrame([("https://ex.com/", [f"https://ex.com/{i}" for i in range(40)])], "url string, links array<string>")
     seen = []
     fetch = crawl.from_table(dead)
@@ -302,6 +301,24 @@ def test_crawl(spark):
     assert crawl.crawl(seeds, counted, per_seed=5).count() == 1 and sum(seen) == 5
 
 
+def test_crawl_lists_pdfs_and_goes_deep(spark):
+    seeds = spark.createDataFrame([("https://ex.com/",)], "seed string")
+    site = [("https://ex.com/", ["https://ex.com/a.pdf", "https://ex.com/b.PDF?x=1", "https://ex.com/p", "https://ex.com/q"]), ("https://ex.com/p", []), ("https://ex.com/q", [])]
+    pages = spark.createDataFrame(site, "url string, links array<string>")
+    got = crawl.crawl(seeds, crawl.from_table(pages))
+    assert rows(got, "kind", "depth") == [("page", 0), ("page", 1), ("page", 1), ("pdf", 1), ("pdf", 1)]
+    assert rows(crawl.pdf_links(got.where("kind = 'pdf'")), "filename") == [("a.pdf",), ("b.PDF",)]
+    # PDFs use up both budgets
+    assert rows(crawl.crawl(seeds, crawl.from_table(pages), per_seed=3), "kind") == [("page",), ("pdf",), ("pdf",)]
+    assert rows(crawl.crawl(seeds, crawl.from_table(pages), max_pages=2), "kind") == [("page",), ("pdf",)]
+    typed = lambda want: crawl.from_table(pages)(want).withColumn("is_pdf", F.col("url").endswith("/q"))
+    assert rows(crawl.crawl(seeds, typed).where("kind = 'pdf'"), "url")[-1] == ("https://ex.com/q",)
+    body = crawl.hand_off(got, lambda u: b"%PDF-1" if "a.pdf" in u else b"<html>", "web")
+    assert rows(body, "source_id", "namespace") == [("a.pdf", "web")]
+    with pytest.raises(ValueError):
+        crawl.hand_off(got, lambda u: b"", "public")
+
+
 def test_manifest(spark):
     f = spark.createDataFrame([("a", 1.7, 10), ("b", 2.0, 20), ("c", 3.0, 30)], "path string, mtime double, size int")
     m = spark.createDataFrame([("a", 1, 10), ("b", 1, 20)], "path string, mtime long, size int")
@@ -349,7 +366,7 @@ def test_empty_tables(spark):
     c = chunks(spark, [("a", "x", "pdf", "s", 0, False)]).limit(0)
     q = spark.createDataFrame([], "query_id int, text string")
     assert dedup.near_dedup(c).count() == 0 and lexical.lexical_topk(c, q, 5).count() == 0 and lexical.bm25_topk(c, q, 5).count() == 0
-    assert search.search_chunks(c, embed.sparse(c), q, embed.sparse(q, "query_id")).count() == 0
+    assert search.search_chunks(c, embed.hashed(c), q, embed.hashed(q, "query_id")).count() == 0
     assert dense.dense_topk(spark.createDataFrame([], "vec_id long, embedding array<float>"), spark.createDataFrame([], "query_id long, embedding array<float>"), 3, "vec_id").count() == 0
 
 
@@ -368,5 +385,5 @@ def test_semantic_windows_cover_every_section(spark):
     d = "/root/testdata/sf0.001"
     b = catalog.blocks(spark, d)
     want = {(r[0], r[1]): r[2] for r in chunking.section_sentences(b).groupBy("source_id", "section_no").agg(F.sum(F.length("sentence") + 1)).collect()}
-    got = {(r[0], r[1]): r[2] for r in catalog.QUERIES["semantic_windows"](spark, d).groupBy("source_id", "section_no").agg(F.sum(F.length("text") + 1)).collect()}
+    got = {(r[0], r[1]): r[2] for r in chunking.semantic_sections(b, embed.Embedder(dim=256), 60).groupBy("source_id", "section_no").agg(F.sum(F.length("text") + 1)).collect()}
     assert got == want and {k[0] for k in got} == {r[0] for r in b.where("not is_heading and block_type = 'text'").select("source_id").distinct().collect()}
