@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import CHUNK, VECTOR
-from ..session import remove
+from ..session import BROADCAST_LIMIT_BYTES, remove, settle
 
 
 def last_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -16,6 +16,19 @@ def last_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return m.select(*[F.col(key) if c == key else F.col(f"__r.{c}").alias(c) for c in rows.columns])
 
 
+def last_of_stored(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The same over a stored table, in which few keys are repeated: the keys are counted alone first, and only rows of repeated ones are
+    shuffled whole. Where the repeated keys do not fit a broadcast, all rows are."""
+    repeated = settle(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "repeated")
+    if repeated.count() * 64 > BROADCAST_LIMIT_BYTES:
+        return last_wins(rows, key, order)
+    several = F.broadcast(repeated)
+    # the anti join keeps every row without a key; of those, too, the last one counts
+    once = rows.where(F.col(key).isNotNull()).join(several, key, "left_anti")
+    more = rows.join(several, key, "left_semi").union(rows.where(F.col(key).isNull()))
+    return once.select(*rows.columns).union(last_wins(more.select(*rows.columns), key, order))
+
+
 def upsert(target: DataFrame, source: DataFrame, key: str = "chunk_id", keep: tuple[str, ...] = ("created_at",), order: list[str] | None = None) -> DataFrame:
     """Rows of ``source`` replace those of ``target`` by key; ``keep`` columns stay as they are in the target; a null chunk_index becomes 0."""
     s = last_wins(source, key, order) if order else source

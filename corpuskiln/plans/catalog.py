@@ -45,7 +45,7 @@ HTML = """'<html><head><title>' || coalesce(title, ' ') || '</title><style>p {{
 
 def latest(spark: SparkSession, d: str) -> DataFrame:
     """Chunks, of second deliveries the last."""
-    return store.last_wins(table(spark, d, "chunks"), "chunk_id", ["created_at"])
+    return store.last_of_stored(table(spark, d, "chunks"), "chunk_id", ["created_at"])
 
 
 def stored(spark: SparkSession, d: str) -> DataFrame:

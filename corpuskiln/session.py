@@ -64,6 +64,13 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
+def by_volume(df: DataFrame, rows: int, *keys: str, each: int = 1_000_000) -> DataFrame:
+    """``df`` of so many rows, dealt out by its keys to partitions of at most ``each`` rows on average where the session's own number of
+    shuffle partitions would make larger ones; else as it is, so that the planner chooses. For keys without hot values."""
+    n = -(-rows // each)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 #: Tables written inside open scopes, the innermost last.
 _scopes: list[list[str]] = []
 

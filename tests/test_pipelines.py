@@ -156,6 +156,16 @@ def test_sets_snapshot_report(spark, tmp_path):
     assert rows(evaluate.judged(j, lambda q, a, c: {"f": float(len(c))} if a else 1 / 0, ["f"]), "question", "f") == [("q", 1.0), ("x", None)]
 
 
+def test_last_of_stored(spark, monkeypatch):
+    data = [("a", 1, "x"), ("a", 3, "y"), ("a", 2, "z"), ("b", 1, "p"), (None, 1, "q"), (None, 2, "r")]
+    df = spark.createDataFrame(data, "k string, t int, v string")
+    want = rows(store.last_wins(df, "k", ["t"]), "t", "v")
+    assert rows(store.last_of_stored(df, "k", ["t"]), "t", "v") == want == [(1, "p"), (2, "r"), (3, "y")]
+    monkeypatch.setattr(store, "BROADCAST_LIMIT_BYTES", 0)
+    assert rows(store.last_of_stored(df, "k", ["t"]), "t", "v") == want
+    assert store.last_of_stored(df.limit(0), "k", ["t"]).count() == 0
+
+
 def test_store_helpers(spark, tmp_path):
     c = chunk_table(spark, 5)
     assert rows(store.by_ids(c, ["c001", "c003", "c001", "zz"]), "chunk_id") == [("c001",), ("c003",)] and store.by_ids(c, []).count() == 0
