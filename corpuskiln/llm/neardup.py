@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, settle, ship
+from ..session import broadcast_if_small, by_volume, discard, settle, ship
 from .lookalike import map_look
 
 #: Ratio of the bounds of a size band.
@@ -255,7 +255,7 @@ def near_links(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
     apart = F.bit_count(F.col("a.b1").bitwiseXOR(F.col("b.b1"))) + F.bit_count(F.col("a.b2").bitwiseXOR(F.col("b.b2")))
     near = (F.col("a.grp") < F.col("b.grp")) & F.expr("(a.n & 1) + (b.n & 1) < 2") & (na * den >= nb * num) & (nb * den >= na * num) & (apart <= most)
     both = [F.col("a.grp").alias("grp_a"), F.col("b.grp").alias("grp_b")]
-    cold, salted = keys.join(hot, "key", "left_anti"), keys.join(hot, "key")
+    cold, salted = by_volume(keys.join(hot, "key", "left_anti"), keys.count(), "key"), keys.join(hot, "key")
     meet = cold.alias("a").join(cold.alias("b"), (F.col("a.key") == F.col("b.key")) & near).select(*both)
     left = salted.withColumn("salt", F.pmod(F.xxhash64("grp"), F.col("salts")).cast("int")).alias("a")
     right = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("b")
@@ -312,9 +312,11 @@ def near_groups(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
             near = sym.join(label.toDF("other", "l"), "other").groupBy("sig").agg(F.min("l").alias("l"))
             step = label.join(near, "sig").select("sig", F.least("label", "l").alias("new"), "label")
             jump = step.groupBy("label").agg(F.min("new").alias("root"))
-            nxt = settle(step.join(jump, "label").select("sig", F.least("new", "root").alias("label"), F.col("label").alias("old")), "neardup-label")
+            last, nxt = label, settle(step.join(jump, "label").select("sig", F.least("new", "root").alias("label"), F.col("label").alias("old")), "neardup-label")
             changed = nxt.where("label <> old").limit(1).count()
             label = nxt.select("sig", "label")
+            discard(last)
+            label._settled_path = nxt._settled_path
             if not changed:
                 break
     classes = sizes.join(label, "sig", "left").join(degree, "sig", "left").select("sig", "n_copies", F.coalesce("label", "first_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

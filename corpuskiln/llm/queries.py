@@ -33,7 +33,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return sitelines.without_repeated(table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "text", "n_removed", "n_blocks")
+    return sitelines.without_repeated(table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "text", "n_removed")
 
 
 def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -127,4 +127,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": p9_found,
 }
 
-SQL: dict[str, str] = {}
+_LINES = r"""l AS (SELECT DISTINCT chunk_id, domain, source_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM chunks WHERE text IS NOT NULL AND domain IS NOT NULL AND chunk_id IS NOT NULL),
+ k AS (SELECT *, regexp_replace(regexp_replace(lower(line), '[\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}\x{200b}\x{feff}]+', '', 'g'), '\p{Nd}+', '0', 'g') AS key FROM l), n AS (SELECT domain, count(DISTINCT source_id) AS site_pages FROM k WHERE regexp_matches(key, '\p{L}') GROUP BY 1),
+ r AS (SELECT domain, key FROM k JOIN n USING (domain) WHERE regexp_matches(key, '\p{L}') GROUP BY domain, key HAVING count(DISTINCT source_id) >= 5 AND count(DISTINCT source_id) >= 0.1 * any_value(site_pages))"""
+
+#: SQL of the queries it can express over whole tables: the support of lines is a count, their blocks and all other operators are none.
+SQL: dict[str, str] = {
+    "p3_found": f"WITH {_LINES} SELECT DISTINCT chunk_id, line_no FROM k JOIN r USING (domain, key)",
+    "p3_cleaned": f"WITH {_LINES}, g AS (SELECT chunk_id, list(DISTINCT line_no) AS gone FROM k JOIN r USING (domain, key) GROUP BY 1), t AS (SELECT chunk_id, min(text) AS text FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1) SELECT chunk_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x, i: {{'x': x, 'i': i - 1}}), lambda s: NOT list_contains(gone, s.i)), lambda s: s.x), chr(10)) END AS text, coalesce(len(gone), 0) AS n_removed FROM t LEFT JOIN g USING (chunk_id)",
+}

@@ -44,6 +44,24 @@ def test_pairs_against_brute_force(spark, seed, kw):
     assert got == brute(data, **kw) and got
 
 
+def test_hot_keys_and_many_partitions(spark, monkeypatch):
+    data = corpus(260, 5)
+    df = spark.createDataFrame(list(data.items()), "chunk_id string, text string")
+    monkeypatch.setattr(N, "HOT", 3)
+    monkeypatch.setattr(N, "SEEN", 10)
+    monkeypatch.setattr(N, "by_volume", lambda d, rows, *k: d.repartition(9, *k))
+    assert sorted(tuple(r) for r in N.near_pairs(df).collect()) == brute(data)
+
+
+def test_many_copies_and_variants(spark):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(f"a{i:05d}", " ".join(base)) for i in range(10_000)] + [(f"b{i:03d}", " ".join([*base[:39], f"x{i}"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string").repartition(4)
+    g = N.near_groups(df)
+    got = {tuple(r) for r in g.groupBy(g.id.substr(1, 1).alias("k"), "class_id", "n_copies", "n_links").count().collect()}
+    assert got == {("a", "a00000", 10_000, 300, 10_000), ("b", "a00000", 1, 300, 300)}
+
+
 def test_edges(spark):
     rows = [("a", "One two  three"), ("b", "three ONE two"), ("c", None), ("d", ""), ("e", "   "), ("a", "One two  three"), ("f", "ｏne two three"), ("g", "long " * 30_000), ("h", "solo")]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "chunk_id string, text string, n int, sig string")
