@@ -17,6 +17,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--" + k.replace("_", "-"), **v)
 
     add("pdf", "chunks of a folder of PDFs", "folder", "out", backend={"default": "pymupdf4llm"}, strategy={"default": "parent_child"})
+    add("ask", "one question over a folder of PDFs", "folder", "question", backend={"default": "pymupdf4llm"}, k={"type": int, "default": 3})
     add("combine", "one table of chunk files", "out", files={"nargs": "+", "required": True})
     add("embed", "vectors of the chunks that have none", "chunks", "out", vectors={"default": None})
     add("search", "one question over chunks", "chunks", "question", k={"type": int, "default": 6}, type={"default": None}, source={"default": None})
@@ -44,6 +45,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             bad = failures.count()
             print(f"{bad} files failed")
             return 1 if bad else 0
+        if a.command == "ask":
+            from .operators import faithfulness
+            from .plans.pipelines import pdf_folder
+            from .session import settle
+
+            chunks = settle(pdf_folder(spark, a.folder, backend=a.backend)[0], "asked")
+            found = lambda k: search.search_text(chunks, embed.hashed(chunks), a.question, k or a.k).collect()
+            print(faithfulness.gated_answer(found, faithfulness.extractive, lambda answer, hits: False, a.k)[0])
+            return 0
         if a.command == "combine":
             files.write_parquet(files.combine(spark, a.files, lambda p: print(f"missing: {p}")), a.out)
         elif a.command == "embed":

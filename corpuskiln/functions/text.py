@@ -167,7 +167,7 @@ def _composed() -> tuple[str, str]:
 
 
 _COMPOSED = _composed()
-_PLAIN_LATIN = "^[\\x00-\\x7f" + _COMPOSED[0] + _COMPOSED[0].upper().replace("SS", "") + "]*$"
+_PLAIN_LATIN = "^[\\x00-\\x7f" + _COMPOSED[0] + "".join(c.upper() for c in _COMPOSED[0] if len(c.upper()) == 1) + "]*$"
 
 
 @F.pandas_udf(T.StringType())

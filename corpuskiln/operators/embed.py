@@ -8,7 +8,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,3 +81,14 @@ class Embedder:
             return pd.Series([[float(x) for x in v] for v in encode(texts.fillna("").tolist())])
 
         return df.select(id_col, model(F.col(text_col)).alias("embedding"))
+
+
+def save_store(chunks: DataFrame, vectors: DataFrame, path: str) -> None:
+    """A store in files: the chunks and their vectors as two tables below ``path``."""
+    for name, df in (("chunks", chunks), ("vectors", vectors)):
+        df.write.option("compression", "zstd").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def load_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(chunks, vectors)`` of a store in files."""
+    return spark.read.parquet(f"{path.rstrip('/')}/chunks"), spark.read.parquet(f"{path.rstrip('/')}/vectors")

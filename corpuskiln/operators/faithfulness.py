@@ -62,6 +62,12 @@ def gated_answer(search: Callable[[int | None], list], generate: Callable[[list]
     return (refuse(answer, hits) if refuse else REFUSAL), hits
 
 
+def extractive(hits: list) -> str:
+    """The answer without a model: the passages themselves, with where they stand. ``hits`` have ``text, source_id, page``."""
+    lines = [f"{h['text']} ({h['source_id']}" + (f", p. {h['page']})" if h["page"] is not None else ")") for h in hits]
+    return "\n\n".join([EXTRACTIVE, *lines]) if lines else NO_CONTEXT
+
+
 def passes(answer: str | None) -> bool:
     """Answers that are not checked: extracts, and that nothing was found."""
     a = (answer or "").strip()

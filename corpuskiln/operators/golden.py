@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import broadcast_if_small, settle
+from ..session import broadcast_if_small, exists, settle
 from .lexical import STOPWORDS
 
 # Words that mark procedures and negations.
@@ -28,6 +28,14 @@ def doc_freq(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode(F.array_distinct(X.unicode_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+def stored_doc_freq(chunks: DataFrame, path: str) -> DataFrame:
+    """The document frequencies written at ``path``; where nothing is there yet they are counted and written first."""
+    spark = chunks.sparkSession
+    if not exists(spark, path):
+        doc_freq(chunks).write.parquet(path)
+    return spark.read.schema("term string, df bigint").parquet(path)
+
+
 def distinctive_terms(chunks: DataFrame, df: DataFrame, n_docs: int, terms: DataFrame | None = None, min_df: int = 5, max_df: float = 0.25, max_terms: int = 4, max_domain: int = 1) -> DataFrame:
     """``chunk_id, pos, term, score`` of each chunk's best words by tf * ln(N / df): words of four letters or more in a band of document
     frequency, standing twice, in the heading, or in the lexicon ``terms`` (of which ``max_domain`` come first). ``chunks``: ``chunk_id, text, section``."""

@@ -87,6 +87,12 @@ def settle(df: DataFrame, label: str = "t") -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder of this path, on any file system Spark reads?"""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder or file of any file system Spark reads."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import CHUNK, conform
-from ..session import broadcast_if_small, settle
+from ..session import broadcast_if_small, exists, settle
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema=CHUNK, mode: str = "FAILFAST", recursive: bool = False) -> DataFrame:
@@ -49,7 +49,7 @@ def combine(spark: SparkSession, paths: list[str], warn=lambda p: None) -> DataF
     """All files that exist, one after the other; missing ones are reported to ``warn``."""
     out = None
     for p in paths:
-        if not _exists(spark, p):
+        if not exists(spark, p):
             warn(p)
             continue
         df = conform(read_any(spark, p))
@@ -57,12 +57,6 @@ def combine(spark: SparkSession, paths: list[str], warn=lambda p: None) -> DataF
     return out if out is not None else spark.createDataFrame([], CHUNK)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def chunk_paths(spark: SparkSession, roots: list[str], skip: tuple[str, ...] = ("train.jsonl", "val.jsonl")) -> list[str]:
     """JSONL files under the roots of any file system, nested or flat, each once, in order; of written tables the folder."""
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()

@@ -51,6 +51,7 @@ def test_sentences_of_a_long_text(spark):
 
 def test_fold(spark):
     assert one(spark, "Bṛhaspati ÉCOLE Śani ñ 12 हिन्दी", X.fold_diacritics)[:22] == "brhaspati ecole sani n"
+    assert one(spark, "e\u0308X ẗ", X.fold_diacritics) == "ex t"
 
 
 def test_resolution_after_the_standard(spark):
@@ -178,6 +179,23 @@ def test_store_helpers(spark, tmp_path):
     spark.sql("DROP DATABASE kiln_test CASCADE")
 
 
+def test_stores_in_files(spark, tmp_path):
+    c = chunk_table(spark, 6)
+    embed.save_store(c, embed.hashed(c), str(tmp_path / "s"))
+    a, b = embed.load_store(spark, str(tmp_path / "s"))
+    assert a.count() == b.count() == 6
+    want = rows(golden.doc_freq(c), "term", "df")
+    assert rows(golden.stored_doc_freq(c, str(tmp_path / "df")), "term", "df") == want == rows(golden.stored_doc_freq(c.limit(0), str(tmp_path / "df")), "term", "df")
+
+
+def test_ask_a_folder(spark, tmp_path, capsys):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF")
+    prose = PROSE
+    pdf.register("made", lambda data: [(1, f"# Book\n{prose}")])
+    assert cli.main(["ask", str(tmp_path), "What is favourable for journeys?", "--backend", "made"], spark) == 0
+    assert capsys.readouterr().out.startswith("[extractive]")
+
+
 def test_rewriters_and_golden_build(spark):
     terms = rewrite.lexicon(spark, [["Sūrya", "Surya", "Sun"], ["Mesha", "Meṣa"]])
     q = spark.createDataFrame([(1, "When is sūrya strong?"), (2, "no term")], "query_id int, text string")
