@@ -37,6 +37,8 @@ FREQUENT, RATIO = 10, 20
 #: Words with a misrecognised character a text needs to count as misread: of the four asked for one may be a name that the corpus does
 #: not know, so three sure ones stand for four.
 SURE = 3
+#: Texts that one task parses.
+UNITS = 4000
 HYPHENS = "-‐¬­‑"
 _EDGES = ".,;:!?()\"'।॥“”„«»[]|’‘*_#…–—<>{}"
 _NUMBER = re.compile(r"^\W{0,4}(?:p|pp|pag|page|pg|s|seite|página|pagina|पृष्ठ)?\.?\s*(?:[0-9०-९]{1,3}|[ivxlcdm]{1,8})\W{0,4}$", re.I)
@@ -223,12 +225,9 @@ def analyse(units: DataFrame) -> DataFrame:
     """
     ship(units.sparkSession)
     one = units.where("text is not null and record_id is not null").groupBy("record_type", "record_id").agg(F.min(F.struct("text", "title", "heading")).alias("u"))
-    # dealt out to all cores: the shuffle before is small in bytes, the parsing behind it is not
-    return one.repartition(2 * spark_cores(units)).select("record_type", "record_id", "u.title", "u.heading", "u.text").mapInArrow(_analyse, _PARTS)
-
-
-def spark_cores(df: DataFrame) -> int:
-    return max(1, df.sparkSession.sparkContext.defaultParallelism)
+    # dealt out by number, to all cores at least: the shuffle before is small in bytes, the parsing behind it is not
+    parts = max(2 * units.sparkSession.sparkContext.defaultParallelism, -(-units.count() // UNITS))
+    return one.repartition(parts).select("record_type", "record_id", "u.title", "u.heading", "u.text").mapInArrow(_analyse, _PARTS)
 
 
 def _value(word):
