@@ -3,52 +3,55 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-_SPARSE = T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("weight", T.DoubleType())]))
+def _hasher(dim: int):
+    """Text -> lists of (bucket, weight) in order of the bucket, in Arrow batches. A vector needs its own text only, so nothing is
+    shuffled; the buckets of words met before are kept by the task, up to a million."""
 
-
-def _hashed(dim: int):
-    """Text -> (bucket, weight) pairs in order of the bucket. A vector needs its own text only, so nothing is shuffled; the hashes of
-    words met before are kept by the task, up to a million."""
-
-    @F.pandas_udf(_SPARSE)
-    def vector(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: dict[str, int] = {}
         find = re.compile("[a-z0-9]+").findall
-        for batch in texts:
+        for batch in batches:
             if len(at) > 1_000_000:
                 at.clear()
-            out = []
-            for t in batch:
-                if t is None:
-                    out.append(None)
-                    continue
+            sizes, buckets, counts = [], [], []
+            for t in batch.column(1).to_pylist():
                 n: dict[int, int] = {}
-                for w in find(t.lower()):
+                for w in find(t.lower()) if t else ():
                     b = at.get(w)
                     if b is None:
                         b = at[w] = int(hashlib.md5(w.encode()).hexdigest(), 16) % dim
                     n[b] = n.get(b, 0) + 1
-                raw = {b: 1 + math.log(k) for b, k in sorted(n.items())}
-                length = math.sqrt(math.fsum(x * x for x in raw.values()))
-                out.append([(b, x / length) for b, x in raw.items()])
-            yield pd.Series(out, dtype=object)
-
-    return vector
+                own = sorted(n)
+                sizes.append(len(own))
+                buckets += own
+                counts += [n[b] for b in own]
+            sizes = np.array(sizes, dtype=np.int64)
+            raw = 1 + np.log(np.array(counts, dtype=np.float64))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            weight = raw / np.sqrt(np.bincount(row, raw * raw, minlength=len(sizes)))[row]
+            pairs = pa.StructArray.from_arrays([pa.array(buckets, pa.int32()), pa.array(weight)], names=["bucket", "weight"])
+            some = np.flatnonzero(sizes)
+            offsets = np.concatenate([[0], np.cumsum(sizes[some])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=["id", "vector"])
+
+    return run
 
 
 def hashed(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", dim: int = 1024) -> DataFrame:
     """``id, vector`` with the buckets and weights of every text that has a word, one row a text."""
-    return df.select(F.col(id_col), _hashed(dim)(F.col(text_col)).alias("vector")).where(F.size("vector") > 0)
+    kind = df.schema[id_col].dataType.simpleString()
+    v = df.select(F.col(id_col), F.col(text_col)).mapInArrow(_hasher(dim), f"id {kind}, vector array<struct<bucket:int,weight:double>>")
+    return v.withColumnRenamed("id", id_col)
 
 
 def sparse(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", dim: int = 1024) -> DataFrame:
