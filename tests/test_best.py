@@ -5,8 +5,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
-from corpuskiln.operators import best, lexical
+from corpuskiln.operators import best, dense, embed, evaluate, lexical, search
 
 
 def exchanges(df) -> str:
@@ -55,3 +57,53 @@ def test_bm25_shuffles_no_pairs(spark):
                 score[i] = round(sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / avgdl)) for t in terms if t in w), 6)
         want |= {(query, i, s, r + 1) for r, (i, s) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:9])}
     assert {tuple(r) for r in top.select("query_id", "chunk_id", "score", "rank").collect()} == want
+
+
+def moved(spark, make) -> int:
+    """Records that are shuffled, and rows that are written in between, by the DataFrame that ``make`` gives."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+
+    def total() -> int:
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() + stages.apply(i).outputRecords() for i in range(stages.size()))
+
+    before = total()
+    make().write.format("noop").mode("overwrite").save()
+    return total() - before
+
+
+def legs(c, q, k=5):
+    return dense.sparse_topk(embed.hashed(c), embed.hashed(q, "query_id"), k).select("query_id", "chunk_id", "rank").union(lexical.lexical_topk(c, q, k).select("query_id", "chunk_id", "rank"))
+
+
+def metrics(c, q):
+    golden = q.select("query_id", F.array(F.lit("c00001")).alias("relevant_chunk_ids"), F.lit("s").alias("stratum"), F.lit("text").alias("block_type"), F.lit("web").alias("source_type"))
+    return evaluate.per_question(found(c, q).withColumnRenamed("final_rank", "rank"), golden)
+
+
+def found(c, q):
+    return search.search_chunks(c, embed.hashed(c), q, embed.hashed(q, "query_id"), 5, 5, 5)
+
+
+USES = {
+    "bm25_topk": lambda c, q: lexical.bm25_topk(c, q, 5),
+    "lexical_topk": lambda c, q: lexical.lexical_topk(c, q, 5),
+    "eval_diff": lambda c, q: evaluate.diff(evaluate.report(metrics(c, q)), evaluate.report(metrics(c, q))),
+    "retrieve_files": lambda c, q: search.retrieve_files(c, q, k_dense=5, k_lexical=5, expand=False),
+    "eval_metrics": metrics,
+    "quick_retrieve": lambda c, q: search.quick_retrieve(c, q, each=5),
+    "retrieve_hits": lambda c, q: search.retrieve(c, embed.hashed(c), q, None, 5, 5, reranking=True),
+    "search_chunks": found,
+    "eval_report": lambda c, q: evaluate.report(metrics(c, q)),
+    "rrf_fuse": lambda c, q: search.rrf(legs(c, q)),
+}
+
+
+@pytest.mark.parametrize("name", USES)
+def test_pairs_stay_in_their_task(spark, name):
+    """2,000 rows and 100 questions share words nearly all: far fewer records move than there are pairs."""
+    c = spark.createDataFrame([(i, " ".join(w), False, *[None] * 8) for i, w in corpus(2000)], "chunk_id string, text string, is_parent boolean, section string, source_id string, page int, url string, parent_id string, chunk_index int, title string, lang string")
+    q = spark.createDataFrame([(i, f"w1 w2 w{i % 30}") for i in range(100)], "query_id int, text string")
+    n = moved(spark, lambda: USES[name](c, q))
+    assert n < 60_000
