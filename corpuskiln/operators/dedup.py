@@ -40,12 +40,19 @@ def band_hashes(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return (low * weights[None, :]).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """64 bits of a set: bit i is the parity of the number of its hashes that fall on i. Two sets differ in one word at least for each bit
+    in which these differ."""
+    n = np.bincount((hashes.view(np.uint64) >> np.uint64(58)).astype(np.int64), minlength=64) & 1
+    return np.packbits(n.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def minhash(tokens: Column, bands: int, rows: int) -> Column:
-    """Band hashes of a set of words; only the words' hashes go through Arrow."""
+    """Parities and then band hashes of a set of words; only the words' hashes go through Arrow."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def signature(sets: pd.Series) -> pd.Series:
-        return pd.Series([band_hashes(np.array(s, dtype=np.int64), bands, rows) if s is not None and len(s) else None for s in sets], dtype=object)
+        return pd.Series([np.concatenate([parities(h), band_hashes(h, bands, rows)]) if h is not None else None for h in (np.array(s, dtype=np.int64) if s is not None and len(s) else None for s in sets)], dtype=object)
 
     return signature(F.transform(tokens, lambda w: F.xxhash64(w)))
 
@@ -59,16 +66,20 @@ def near_links(chunks: DataFrame, threshold: float = 0.9, bands: int = 21, rows:
 
 
 def word_sets(chunks: DataFrame, order: list[str], bands: int = 21, rows: int = 6) -> DataFrame:
-    """``o, w, h, bands`` of every text with words: its place, words, their hash and band hashes; written once."""
+    """``o, w, h, n, sig`` of every text with words: its place, words, their hash and number, parities and band hashes; written once."""
     ship(chunks.sparkSession)
     t = chunks.select(F.struct(*order).alias("o"), F.array_sort(F.array_distinct(X.blank_words(F.col("text")))).alias("w")).where(F.size("w") > 0)
-    return settle(t.select("o", "w", F.xxhash64("w").alias("h"), minhash(F.col("w"), bands, rows).alias("bands")), "minhash")
+    return settle(t.select("o", "w", F.xxhash64("w").alias("h"), F.size("w").alias("n"), minhash(F.col("w"), bands, rows).alias("sig")), "minhash")
 
 
 def _links(sets: DataFrame, threshold: float) -> DataFrame:
-    """Only the words of candidates are shuffled; copies meet as one hash."""
-    keys = sets.select("h", F.posexplode("bands").alias("band", "v")).distinct()
-    pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.h") < F.col("y.h"))).select(F.col("x.h").alias("ha"), F.col("y.h").alias("hb")).distinct()
+    """Only the words of candidates are shuffled; copies meet as one hash. Most texts that share a band are not near: they are told by their
+    sizes and parities inside the join. The words of sets of n and m that are near differ by (n + m)(1 - t) / (1 + t) at most, so no link is lost."""
+    one = sets.groupBy("h").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    keys = one.select("h", "n", F.element_at("sig", 1).alias("p"), F.explode(F.slice("sig", 2, F.size("sig") - 1)).alias("v"))
+    differ = F.greatest(F.bit_count(F.col("x.p").bitwiseXOR(F.col("y.p"))), F.abs(F.col("x.n") - F.col("y.n")))
+    near = differ <= (F.col("x.n") + F.col("y.n")) * (1 - threshold) / (1 + threshold) + 1e-6
+    pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.h") < F.col("y.h")) & near).select(F.col("x.h").alias("ha"), F.col("y.h").alias("hb")).distinct()
     pairs = settle(pairs, "minhash-pairs")
     needed = settle(pairs.select(F.col("ha").alias("h")).union(pairs.select("hb")).distinct(), "minhash-needed")
     words = settle(sets.join(broadcast_if_small(needed, 40), "h", "left_semi").groupBy("h").agg(F.min("o").alias("o"), F.first("w").alias("w")), "minhash-words")

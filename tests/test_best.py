@@ -1,4 +1,4 @@
-"""The exact top-k kernel and the legs over it: against brute force, and without a shuffle of pairs of a query and a row."""
+"""The exact top-k kernel, the legs over it and near duplicates: against brute force, and without a shuffle of all pairs."""
 
 import math
 import re
@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpuskiln.operators import best, dense, embed, evaluate, lexical, search
+from corpuskiln.operators import best, dedup, dense, embed, evaluate, lexical, search
 
 
 def exchanges(df) -> str:
@@ -107,3 +107,20 @@ def test_pairs_stay_in_their_task(spark, name):
     q = spark.createDataFrame([(i, f"w1 w2 w{i % 30}") for i in range(100)], "query_id int, text string")
     n = moved(spark, lambda: USES[name](c, q))
     assert n < 60_000
+
+
+@pytest.mark.parametrize("name", ["near_links", "near_dedup"])
+def test_far_pairs_are_not_written(spark, name):
+    """Texts that share half of their words share a band often: they are told apart in the join."""
+    r = np.random.default_rng(5)
+    texts = [[f"w{x}" for x in r.permutation(64)[:42]] for _ in range(500)]
+    texts += [[*t[:-1], "other"] for t in texts[:20]] + texts[:10]
+    c = spark.createDataFrame([(f"c{i:05d}", " ".join(t), False) for i, t in enumerate(texts)], "chunk_id string, text string, is_parent boolean")
+    links = lambda: dedup.near_links(c)
+    assert moved(spark, links if name == "near_links" else lambda: dedup.near_dedup(c)) < 30_000
+    sets, first = [set(t) for t in texts], {}
+    for i, x in enumerate(sets):
+        first.setdefault(frozenset(x), i)
+    own = sorted(first.values())
+    want = {(f"c{a:05d}", f"c{b:05d}") for a in own for b in own if a < b and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b])}
+    assert {(x["a"][0], x["b"][0]) for x in links().collect()} == want and len(want) >= 20
