@@ -62,27 +62,43 @@ def near_links(chunks: DataFrame, threshold: float = 0.9, bands: int = 21, rows:
 
     With 21 bands of 6 a pair at the threshold of 0.9 is missed once in 7 million; the links found are verified exactly.
     """
-    return _links(word_sets(chunks, order or ["chunk_id"], bands, rows), threshold)
+    order = order or ["chunk_id"]
+    return _links(chunks, word_sets(chunks, order, bands, rows), order, threshold, bands)
+
+
+def _words() -> Column:
+    return F.array_sort(F.array_distinct(X.blank_words(F.col("text"))))
 
 
 def word_sets(chunks: DataFrame, order: list[str], bands: int = 21, rows: int = 6) -> DataFrame:
-    """``o, w, h, n, sig`` of every text with words: its place, words, their hash and number, parities and band hashes; written once."""
+    """``o, h, n, sig`` of every text with words: its place, hash and number of its words, parities and band hashes; written once, without the words."""
     ship(chunks.sparkSession)
-    t = chunks.select(F.struct(*order).alias("o"), F.array_sort(F.array_distinct(X.blank_words(F.col("text")))).alias("w")).where(F.size("w") > 0)
-    return settle(t.select("o", "w", F.xxhash64("w").alias("h"), F.size("w").alias("n"), minhash(F.col("w"), bands, rows).alias("sig")), "minhash")
+    t = chunks.select(F.struct(*order).alias("o"), _words().alias("w")).where(F.size("w") > 0)
+    return settle(t.select("o", F.xxhash64("w").alias("h"), F.size("w").alias("n"), minhash(F.col("w"), bands, rows).alias("sig")), "minhash", clean=True)
+
+
+#: Bands that are shuffled at once: the keys of the others need no disk meanwhile.
+AT_ONCE = 7
 
 
-def _links(sets: DataFrame, threshold: float) -> DataFrame:
-    """Only the words of candidates are shuffled; copies meet as one hash. Most texts that share a band are not near: they are told by their
+def _links(chunks: DataFrame, sets: DataFrame, order: list[str], threshold: float, bands: int = 21) -> DataFrame:
+    """Only the words of candidates are read again; copies meet as one hash. Most texts that share a band are not near: they are told by their
     sizes and parities inside the join. The words of sets of n and m that are near differ by (n + m)(1 - t) / (1 + t) at most, so no link is lost."""
-    one = sets.groupBy("h").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
-    keys = one.select("h", "n", F.element_at("sig", 1).alias("p"), F.explode(F.slice("sig", 2, F.size("sig") - 1)).alias("v"))
     differ = F.greatest(F.bit_count(F.col("x.p").bitwiseXOR(F.col("y.p"))), F.abs(F.col("x.n") - F.col("y.n")))
     near = differ <= (F.col("x.n") + F.col("y.n")) * (1 - threshold) / (1 + threshold) + 1e-6
-    pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.h") < F.col("y.h")) & near).select(F.col("x.h").alias("ha"), F.col("y.h").alias("hb")).distinct()
-    pairs = settle(pairs, "minhash-pairs")
+    found = None
+    for lo in range(0, bands, AT_ONCE):
+        part = sets.select("h", "n", F.element_at("sig", 1).alias("p"), F.slice("sig", lo + 2, AT_ONCE).alias("v"))
+        keys = part.groupBy("h").agg(*[F.first(c).alias(c) for c in ("n", "p", "v")]).select("h", "n", "p", F.explode("v").alias("v"))
+        met = keys.alias("x").join(keys.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.h") < F.col("y.h")) & near)
+        met = settle(met.select(F.col("x.h").alias("ha"), F.col("y.h").alias("hb")).distinct(), "minhash-met", clean=True)
+        found = met if found is None else found.union(met)
+    pairs = settle(found.distinct(), "minhash-pairs", clean=True)
     needed = settle(pairs.select(F.col("ha").alias("h")).union(pairs.select("hb")).distinct(), "minhash-needed")
-    words = settle(sets.join(broadcast_if_small(needed, 40), "h", "left_semi").groupBy("h").agg(F.min("o").alias("o"), F.first("w").alias("w")), "minhash-words")
+    places = settle(sets.join(broadcast_if_small(needed, 40), "h", "left_semi").groupBy("h").agg(F.min("o").alias("o")), "minhash-places", clean=True)
+    # a place may be that of several texts; the hash tells which is meant (as no key of the join, for which all texts would be split)
+    again = chunks.select(F.struct(*order).alias("o"), "text").join(broadcast_if_small(places, 200), "o").select("h", "o", _words().alias("w"))
+    words = settle(again.where(F.xxhash64("w").bitwiseXOR(F.col("h")) == 0).dropDuplicates(["h"]), "minhash-words", clean=True)
     a, b = words.toDF("ha", "oa", "wa"), words.toDF("hb", "ob", "wb")
     both = pairs.join(a, "ha").join(b, "hb")
     same = F.size(F.array_intersect("wa", "wb"))
@@ -113,6 +129,6 @@ def near_dedup(chunks: DataFrame, threshold: float = 0.9, order: list[str] | Non
     parents = chunks.where(F.coalesce("is_parent", F.lit(False)))
     own = chunks.where(~F.coalesce("is_parent", F.lit(False)))
     sets = word_sets(own, order)
-    gone = keep_greedy(_links(sets, threshold))
+    gone = keep_greedy(_links(own, sets, order, threshold))
     kept = sets.groupBy("h").agg(F.min("o").alias("o")).join(gone.select(F.col("b").alias("o")), "o", "left_anti")
     return parents.unionByName(own.join(kept.select("o.*"), order, "left_semi").select(*chunks.columns))

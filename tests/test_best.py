@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -124,3 +125,35 @@ def test_far_pairs_are_not_written(spark, name):
     own = sorted(first.values())
     want = {(f"c{a:05d}", f"c{b:05d}") for a in own for b in own if a < b and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b])}
     assert {(x["a"][0], x["b"][0]) for x in links().collect()} == want and len(want) >= 20
+
+
+def left(spark, least: int = 0) -> int:
+    """Bytes of shuffle files on disk; waits a little for ``least``, as they are deleted in the background."""
+    for _ in range(100):
+        own = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        n = sum(own.apply(i).length() for i in range(own.size()) if own.apply(i).getName().startswith("shuffle_"))
+        if n <= least:
+            break
+        time.sleep(0.05)
+    return n
+
+
+@pytest.mark.parametrize("name", ["near_links", "near_dedup"])
+def test_near_duplicates_take_little_disk(spark, name):
+    """The words of texts are not written, and the bands of some are not kept on disk while others are shuffled."""
+    r = np.random.default_rng(6)
+    texts = [[r.bytes(30).hex() for _ in range(40)] for _ in range(1000)]
+    texts += [[*t[:-1], "other"] for t in texts[:20]]
+    c = spark.createDataFrame([(f"c{i:05d}", " ".join(t), False) for i, t in enumerate(texts)], "chunk_id string, text string, is_parent boolean")
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+
+    def written() -> int:
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).outputBytes() for i in range(stages.size()))
+
+    shuffled, before = left(spark), written()
+    found = dedup.near_links(c) if name == "near_links" else dedup.near_dedup(c)
+    assert left(spark, shuffled + 60_000) <= shuffled + 60_000
+    assert written() - before < sum(len(w) for t in texts for w in t) / 4
+    assert found.count() == (20 if name == "near_links" else 1000)
